@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from zephra.fixed_values import RISK_WEIGHTS
+from zephra.functions.text import round_stable
 
 
 def at_most(c: Column, high: float) -> Column:
@@ -37,13 +38,13 @@ def risk_score(scores: dict[str, Column]) -> Column:
     total = F.lit(0.0)
     for name, _, weight in RISK_WEIGHTS:
         total = total + F.lit(weight) * scores[name]
-    return F.round(clip(total, 0, 100), 1)
+    return round_stable(clip(total, 0, 100), 1)
 
 
 def contributions(scores: dict[str, Column]) -> Column:
     pairs = []
     for name, label, weight in RISK_WEIGHTS:
-        pairs += [F.lit(label), F.round(F.lit(weight) * scores[name], 1)]
+        pairs += [F.lit(label), round_stable(F.lit(weight) * scores[name], 1)]
     return F.create_map(*pairs)
 
 
@@ -73,7 +74,7 @@ def alert_reason(ward: Column, kind: Column, score: Column) -> Column:
 
 def confidence_text(x: Column) -> Column:
     share = F.coalesce(x, F.lit(0.85))
-    return F.format_string("%.1f%%", F.when(share <= 1.0, share * 100.0).otherwise(share))
+    return F.format_string("%.1f%%", F.bround(F.when(share <= 1.0, share * 100.0).otherwise(share), 1))
 
 
 def report_status(x: Column) -> Column:
@@ -95,9 +96,9 @@ def trajectory(pm25: Column, mean: Column, half_width: Column) -> Column:
         half = half_width * (0.3 + 0.7 * f)
         return F.struct(
             h.cast("int").alias("hour"),
-            F.round(value, 1).alias("value"),
-            F.round(F.greatest(F.lit(10.0), value - half), 1).alias("lower"),
-            F.round(value + half, 1).alias("upper"),
+            round_stable(value, 1).alias("value"),
+            round_stable(F.greatest(F.lit(10.0), value - half), 1).alias("lower"),
+            round_stable(value + half, 1).alias("upper"),
         )
 
     return F.transform(F.sequence(F.lit(0), F.lit(24)), point)

@@ -22,6 +22,11 @@ def quoted(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def round_stable(c: Column, places: int) -> Column:
+    """Half-up rounding after removing the last-digit noise of a distributed sum, so that ties do not depend on order."""
+    return F.round(F.round(c, 9), places)
+
+
 def null_tokens(c: Column, tokens: list[str] = NULL_TOKENS) -> Column:
     return F.when(c.isin(tokens), None).otherwise(c)
 

@@ -200,6 +200,11 @@ def image_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- the same roles as SQL ------------------------------------------------------------------------------------------
 
 
+def rnd(x: str, places: int) -> str:
+    """SQL twin of ``round_stable``."""
+    return f"round(CAST({x} AS DECIMAL(28, 9)), {places})::DOUBLE"
+
+
 def _case(column: str, mapping: dict[str, str]) -> str:
     return "CASE " + column + " " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in mapping.items()) + " END"
 

@@ -26,13 +26,14 @@ def ring_edges(ring: Column) -> Column:
 
 def with_bounds(wards: DataFrame) -> DataFrame:
     """Adds x_lo, x_hi, y_lo, y_hi from the edges."""
+
+    def starts(axis: str) -> Column:
+        return F.transform("edges", lambda e: e[f"{axis}1"])
+
     return wards.select(
         "*",
-        *[
-            fn(F.transform("edges", lambda e, a=axis: e[f"{a}1"])).alias(f"{axis}_{side}")
-            for axis in "xy"
-            for side, fn in (("lo", F.array_min), ("hi", F.array_max))
-        ],
+        F.array_min(starts("x")).alias("x_lo"), F.array_max(starts("x")).alias("x_hi"),
+        F.array_min(starts("y")).alias("y_lo"), F.array_max(starts("y")).alias("y_hi"),
     )
 
 
