@@ -161,9 +161,8 @@ def nearest(
     x0, x1, y0, y1 = items.agg(F.min(mid_x), F.max(mid_x), F.min(mid_y), F.max(mid_y)).first()
     pts = points.select("px", "py").dropna().distinct()
     if x0 is None:
-        return pts.filter(F.lit(False)).crossJoin(items.limit(0)).select(
-            "px", "py", F.lit(None).cast("double").alias("distance"), *payload
-        )
+        none = [F.lit(None).cast(items.schema[c].dataType).alias(c) for c in payload]
+        return pts.filter(F.lit(False)).select("px", "py", F.lit(None).cast("double").alias("distance"), *none)
     side = max(x1 - x0, y1 - y0) * _SLACK or 1.0
 
     def cell(c: Column, origin: float, depth: int | Column) -> Column:
