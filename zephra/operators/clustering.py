@@ -177,9 +177,10 @@ def cell_links(cores: DataFrame) -> DataFrame:
 
 
 def cluster_coords(points: DataFrame, min_samples: int = MIN_SAMPLES) -> DataFrame:
-    """(run, x, y, label): label is the first core point of the cluster, NULL for noise."""
+    """(run, x, y, cluster) per coordinate: numbered from 0 by first core point within the run, -1 for noise."""
     coords = cut_lineage(core_flags(cut_lineage(collapse(points)), min_samples))
     cores = coords.filter("core")
+    # A cell is named by its first core point; the smallest name of a component is the cluster's first core point.
     nodes = cores.groupBy(*_CELL).agg(F.min("first").alias("node"))
     links = cell_links(cores)
     for p in "ab":
@@ -187,23 +188,21 @@ def cluster_coords(points: DataFrame, min_samples: int = MIN_SAMPLES) -> DataFra
         links = links.join(end, ["run", f"{p}_cx", f"{p}_cy"])
     merged = components(links.select("run", F.col("a").alias("u"), F.col("b").alias("v")))
     labelled = nodes.join(merged.withColumnRenamed("u", "node"), ["run", "node"], "left")
-    labelled = cut_lineage(labelled.select(*_CELL, F.coalesce("label", "node").alias("label")))
-    # All core points of a cell share its label; the others take the lowest label within reach.
-    core_labels = cores.join(labelled, _CELL).select("run", "x", "y", "label")
+    labelled = labelled.select(*_CELL, F.coalesce("label", "node").alias("label"))
+    numbers = ranked(labelled.select("run", "label").distinct(), ["run"], ["label"], "_no")
+    numbered = labelled.join(numbers, ["run", "label"]).select(*_CELL, (F.col("_no") - 1).cast("int").alias("cluster"))
+    # All core points of a cell share its cluster; the others take the lowest number within reach.
+    inside = cores.join(numbered, _CELL)
     rest = coords.filter("NOT core")
-    reach = _look_up(rest, cores.join(labelled, _CELL), ["label"]).groupBy("run", "x", "y").agg(F.min("label").alias("label"))
-    border = rest.select("run", "x", "y").join(reach, ["run", "x", "y"], "left").select("run", "x", "y", "label")
-    return core_labels.unionByName(border)
+    reach = _look_up(rest, inside, ["cluster"]).groupBy("run", "x", "y").agg(F.min("cluster").alias("cluster"))
+    border = rest.select("run", "x", "y").join(reach, ["run", "x", "y"], "left")
+    border = border.select("run", "x", "y", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    return inside.select("run", "x", "y", "cluster").unionByName(border)
 
 
 def dbscan(points: DataFrame, min_samples: int = MIN_SAMPLES) -> DataFrame:
-    """``points`` with ``cluster``: numbered from 0 by first core point within the run, -1 for noise."""
-    labels = cut_lineage(cluster_coords(points, min_samples))
-    clusters = labels.filter(F.col("label").isNotNull()).select("run", "label").distinct()
-    numbers = ranked(clusters, ["run"], ["label"], "_no").select("run", "label", (F.col("_no") - 1).cast("int").alias("cluster"))
-    numbered = labels.join(numbers, ["run", "label"], "left")
-    numbered = numbered.select("run", "x", "y", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
-    return points.join(numbered, ["run", "x", "y"])
+    """``points`` with their ``cluster``."""
+    return points.join(cluster_coords(points, min_samples), ["run", "x", "y"])
 
 
 # --- station sweeps -------------------------------------------------------------------------------------------------
@@ -220,11 +219,11 @@ def sweep(severity: DataFrame, configs: Sequence[tuple] = SWEEPS, min_samples: i
     ``severity`` has pos, station, latitude, longitude, severity.
     """
     severity = cut_lineage(severity)
-    cut = cut_lineage(severity_cutoffs(severity))
+    cut = severity_cutoffs(severity).first()
     runs = F.array(
         *[
             F.struct(F.lit(label).alias("run"), F.lit(pct).alias("sev_pct"), F.lit(float(eps)).alias("eps"),
-                     cut.select(f"p{pct}").scalar().alias("cutoff"))
+                     F.lit(cut[f"p{pct}"]).alias("cutoff"))
             for label, pct, eps in configs
         ]
     )

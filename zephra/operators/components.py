@@ -1,7 +1,7 @@
 """Connected components by alternating star operations (large star, small star).
 
 Each round is two grouped minima and two joins on a written edge table; the number of rounds grows with the logarithm of
-the graph. A round ends with a fingerprint of the edge set; two equal fingerprints end the loop.
+the graph. Both operations keep connectivity, so the loop ends once the edges are disjoint stars.
 """
 
 from __future__ import annotations
@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from zephra.scale import cut_lineage
 
-_EDGE = ["run", "u", "v"]
-
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node links its larger neighbours to the smallest of its neighbourhood."""
@@ -20,7 +18,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     least = both.groupBy("run", "u").agg(F.min("v").alias("m")).select("run", "u", F.least("u", "m").alias("m"))
     return both.filter(F.col("v") > F.col("u")).join(least, ["run", "u"]).select(
         "run", F.col("v").alias("u"), F.col("m").alias("v")
-    ).distinct()
+    )
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -31,6 +29,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("run", "u", F.col("m").alias("v"))).filter(F.col("u") != F.col("v")).distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """No node has two parents, or is a parent and a child."""
+    child = edges.select("run", F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    parent = edges.select("run", F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    ends = child.unionByName(parent).groupBy("run", "node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ends.filter((F.col("up") > 1) | ((F.col("up") == 1) & (F.col("down") == 1))).isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(run, u, label) for every node with an edge: the smallest node of its component."""
     now = cut_lineage(
@@ -38,13 +44,7 @@ def components(edges: DataFrame) -> DataFrame:
         .select("run", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct()
     )
-    seen = None
-    while True:
-        # Distinct edges, so an order-free xor of hashes with the count identifies the set.
-        mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*_EDGE))).first()
-        if mark == seen:
-            break
-        seen = mark
+    while not _are_stars(now):
         now = cut_lineage(_small_star(_large_star(now)))
     roots = now.select("run", F.col("v").alias("u"), F.col("v").alias("label")).distinct()
     return now.select("run", "u", F.col("v").alias("label")).unionByName(roots)

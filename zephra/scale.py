@@ -53,10 +53,10 @@ def blocked(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFra
     """Range partition on ``keys + order`` and fix the partition number as ``_block``.
 
     The order columns are part of the range, so a key with a third of all rows spreads over a third of the blocks.
+    No partition count is given: adaptive execution merges small neighbouring ranges, which keeps their order.
     The result is written before use: block numbers must not change between the two reads that follow.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut_lineage(df.repartitionByRange(parts, *keys, *order).withColumn(BLOCK, F.spark_partition_id()))
+    return cut_lineage(df.repartitionByRange(*keys, *order).withColumn(BLOCK, F.spark_partition_id()))
 
 
 def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
