@@ -48,9 +48,9 @@ def list_sources(spark: SparkSession, dirs: Sequence[str], recursive: bool = Tru
     return out
 
 
-def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def read_lines(spark: SparkSession, paths: str | Sequence[str], pattern: str = "*.csv") -> DataFrame:
     """(path, _start, _line, text) of all non-empty lines."""
-    raw = spark.read.text(paths, recursiveFileLookup=True, pathGlobFilter="*.csv")
+    raw = spark.read.text(paths, recursiveFileLookup=True, pathGlobFilter=pattern)
     return raw.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("_start"),
@@ -181,8 +181,11 @@ def _with_station(rows: DataFrame, registry: Sequence[tuple]) -> DataFrame:
     )
 
 
-def _load(spark, dirs, registry, aliases, schema, station, time, value_col, loose):
-    lines = read_lines(spark, list(dirs) if not isinstance(dirs, str) else dirs)
+def _load(spark, dirs, registry, aliases, schema, station, time, value_col, loose, pattern):
+    found = [d for d in dirs if _exists(spark, d)]
+    if not found:
+        raise FileNotFoundError(f"no source directory among {list(dirs)}")
+    lines = read_lines(spark, found, pattern)
     layouts = classify_layout(lines)
     kind = layouts.select("path", "layout")
     grid = read_month_grid(
@@ -205,14 +208,16 @@ def _load(spark, dirs, registry, aliases, schema, station, time, value_col, loos
     return merged.dropna(subset=[station, time])
 
 
-def load_series(spark: SparkSession, dirs: Sequence[str], registry: Sequence[tuple] = STATIONS, loose: bool = False) -> DataFrame:
+def load_series(spark: SparkSession, dirs: Sequence[str], registry: Sequence[tuple] = STATIONS, loose: bool = False,
+                pattern: str = "*.csv") -> DataFrame:
     """Unified time series of all files below ``dirs``: grids hold PM2.5, tables any pollutant."""
-    return _load(spark, dirs, registry, SERIES_ALIASES, SERIES, "station", "timestamp", "PM2.5", loose)
+    return _load(spark, dirs, registry, SERIES_ALIASES, SERIES, "station", "timestamp", "PM2.5", loose, pattern)
 
 
-def load_master(spark: SparkSession, dirs: Sequence[str], registry: Sequence[tuple] = STATIONS, loose: bool = False) -> DataFrame:
+def load_master(spark: SparkSession, dirs: Sequence[str], registry: Sequence[tuple] = STATIONS, loose: bool = False,
+                pattern: str = "*.csv") -> DataFrame:
     """Historical master table: grids hold AQI, duplicate rows are dropped."""
-    out = _load(spark, dirs, registry, MASTER_ALIASES, MASTER, "station_name", "datetime", "AQI", loose)
+    out = _load(spark, dirs, registry, MASTER_ALIASES, MASTER, "station_name", "datetime", "AQI", loose, pattern)
     return out.dropDuplicates()
 
 
