@@ -27,6 +27,12 @@ def round_stable(c: Column, places: int) -> Column:
     return F.round(F.round(c, 9), places)
 
 
+def round_half_even(c: Column, places: int) -> Column:
+    """Rounding of the scaled value, ties to even: what published importance tables use."""
+    scale = 10.0**places
+    return F.rint(c * scale) / scale
+
+
 def null_tokens(c: Column, tokens: list[str] = NULL_TOKENS) -> Column:
     return F.when(c.isin(tokens), None).otherwise(c)
 

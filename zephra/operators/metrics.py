@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from zephra.fixed_values import BANDS
+from zephra.functions.text import round_half_even
 
 # group label: names or prefixes of its features
 IMPORTANCE_GROUPS = {
@@ -102,10 +103,10 @@ def rank_importance(fi: DataFrame) -> DataFrame:
     """Rank, rounded share, and running sum of the rounded shares. One row per model feature: a schema-sized table."""
     order = Window.orderBy(F.col("importance").desc(), "feature")
     running = order.rowsBetween(Window.unboundedPreceding, 0)
-    pct = F.round(F.col("importance") * 100, 3)
+    pct = round_half_even(F.col("importance") * 100, 3)
     out = fi.select(F.row_number().over(order).alias("rank"), "feature", "importance", pct.alias("importance_pct"))
     by_rank = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    return out.withColumn("cumulative_pct", F.round(F.sum("importance_pct").over(by_rank), 2))
+    return out.withColumn("cumulative_pct", round_half_even(F.sum("importance_pct").over(by_rank), 2))
 
 
 def top_features(ranked: DataFrame, n: int = 20) -> DataFrame:

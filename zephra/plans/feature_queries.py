@@ -345,7 +345,7 @@ _IMPORTANCE = f"""SELECT CASE {_BRAND} {" ".join(f"WHEN {i + 1} THEN '{n}'" for
     FROM part GROUP BY 1"""
 _RANKED = """SELECT *, sum(importance_pct) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) AS cum FROM (
     SELECT row_number() OVER (ORDER BY importance DESC, feature) AS rank, feature, importance,
-    round(importance * 100, 3) AS importance_pct FROM fi)"""
+    round_even(importance * 100 * 1000, 0) / 1000.0::DOUBLE AS importance_pct FROM fi)"""
 
 
 def importance(spark, d):
@@ -363,7 +363,7 @@ def importance(spark, d):
 @query(
     "W8_rank_importance",
     oracle(
-        """SELECT rank::INT AS rank, feature, round(importance, 9) AS importance, importance_pct, round(cum, 2) AS cumulative_pct
+        """SELECT rank::INT AS rank, feature, round(importance, 9) AS importance, importance_pct, round_even(cum * 100, 0) / 100.0::DOUBLE AS cumulative_pct
         FROM ranked_fi""",
         extra={"fi": _IMPORTANCE, "ranked_fi": _RANKED},
     ),
