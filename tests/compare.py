@@ -83,6 +83,8 @@ def main():
     parts = sys.argv[2:]
     sf_dir = f"/root/testdata/sf{sf}"
     spark, con = local_session(), duck(sf_dir)
+    for pair in os.environ.get("CONF", "").split():  # e.g. CONF="spark.sql.shuffle.partitions=200"
+        spark.conf.set(*pair.split("="))
     qs, sqls = queries(), oracle_sql()
     failed = []
     for name in qs:

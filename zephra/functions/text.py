@@ -38,8 +38,8 @@ def null_tokens(c: Column, tokens: list[str] = NULL_TOKENS) -> Column:
 
 
 def to_number(c: Column, tokens: list[str] = NULL_TOKENS) -> Column:
-    bare = F.regexp_replace(F.trim(c), "^[\"']+|[\"']+$", "")
-    digits = F.regexp_replace(null_tokens(bare, tokens), ",", "")
+    bare = F.btrim(F.trim(c), F.lit("\"'"))
+    digits = F.replace(null_tokens(bare, tokens), F.lit(","), F.lit(""))
     return F.when(digits.rlike(_NUMBER), digits.try_cast("double"))
 
 

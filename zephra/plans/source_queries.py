@@ -273,7 +273,8 @@ def stream_alerts(spark, d):
     alerts = ingest.ward_alerts(ingest.stream_reports(spark, _write_events(spark, d)))
     ingest.run_alerts(alerts, target, target + "-state").awaitTermination()
     out = ingest.current_alerts(spark, target)
-    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("window_start").cast("timestamp_ntz"))
+    return out.withColumn("window_start", utc)
 
 
 @query(

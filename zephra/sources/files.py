@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from zephra.fixed_values import FEED_NULL_TOKENS, MASTER_ALIASES, NULL_TOKENS, REPORT_COLUMNS, SERIES_ALIASES, STATIONS
 from zephra.functions.text import hour_of, month_no, norm_key, null_tokens, quoted, to_number, to_utc_naive
 from zephra.operators.cleaning import conform, infer_station, nullify
-from zephra.scale import BLOCK, carried
+from zephra.scale import BLOCK, broadcast_if_small, carried, cut_lineage
 from zephra.sources.schemas import FEED_RAW, MASTER, SERIES
 
 _MONTH_ROW = r"^([A-Za-z]+)\s*[-/]\s*([0-9]{4})$"
@@ -64,7 +64,7 @@ def first_lines(lines: DataFrame) -> DataFrame:
 
 
 def is_grid(first_line: Column) -> Column:
-    first = F.trim(F.regexp_replace(F.trim(F.split(first_line, ",").getItem(0)), '^"+|"+$', ""))
+    first = F.trim(F.btrim(F.trim(F.split(first_line, ",").getItem(0)), F.lit('"')))
     return (F.lower(first) == "year") | first.rlike(_MONTH_ROW)
 
 
@@ -78,7 +78,9 @@ def _cells(text: Column, width: int) -> Column:
     """CSV line to an array of ``width`` trimmed cells; missing ones are NULL."""
     names = [f"c{i}" for i in range(width)]
     row = F.from_csv(text, ", ".join(f"{n} string" for n in names), {"escape": '"'})
-    return F.array(*[F.trim(F.regexp_replace(F.trim(row[n]), '^"+|"+$', "")) for n in names])
+    # Through a lambda the line is parsed once; taking fields of from_csv itself would parse it once per field.
+    each = F.transform(F.array(row), lambda r: F.array(*[F.trim(F.btrim(F.trim(r[n]), F.lit('"'))) for n in names]))
+    return each[0]
 
 
 def file_stem(path: Column) -> Column:
@@ -151,12 +153,14 @@ def read_alias_csv(lines: DataFrame, heads: DataFrame, aliases: dict[str, list[s
     """Lines of tabular files with any header to (path, one text column per target).
 
     ``heads`` holds (path, first_line). One plan serves all header layouts: the cell position is looked up per file.
+    The lookup has one row per file and is broadcast after a check of its size, so that lines need no shuffle by file.
     """
+    heads = cut_lineage(heads)
     width = heads.agg(F.max(F.size(F.split("first_line", ",")))).first()[0] or 1
     header = heads.select("path", "first_line", _cells(F.col("first_line"), width).alias("header"))
     header = header.withColumn("header", F.filter("header", lambda x: x.isNotNull()))
     found = header.join(match_headers(header, aliases, loose), "path", "left").select("path", "first_line", "columns")
-    rows = lines.join(found, "path").filter(F.col("text") != F.col("first_line"))
+    rows = lines.join(broadcast_if_small(cut_lineage(found)), "path").filter(F.col("text") != F.col("first_line"))
     cells = rows.select("path", "columns", _cells(F.col("text"), width).alias("cells"))
     none = F.lit(None).cast("string")
     return cells.select(
@@ -170,34 +174,31 @@ def read_alias_csv(lines: DataFrame, heads: DataFrame, aliases: dict[str, list[s
     )
 
 
-def _with_station(rows: DataFrame, registry: Sequence[tuple]) -> DataFrame:
-    """Adds the file's station (``_name``, ``_lat``, ``_lon``), resolved once per path."""
-    per_file = infer_station(rows.select("path").distinct().withColumn("stem", file_stem(F.col("path"))), registry)
-    return rows.join(
-        per_file.select("path", F.col("station").alias("_name"), F.col("latitude").alias("_lat"),
-                        F.col("longitude").alias("_lon")),
-        "path",
-        "left",
-    )
-
-
 def _load(spark, dirs, registry, aliases, schema, station, time, value_col, loose, pattern):
     found = [d for d in dirs if _exists(spark, d)]
     if not found:
         raise FileNotFoundError(f"no source directory among {list(dirs)}")
     lines = read_lines(spark, found, pattern)
-    layouts = classify_layout(lines)
-    kind = layouts.select("path", "layout")
+    # One row per file: layout, header, and the station its name tells; written once, as three reads follow.
+    sources = infer_station(classify_layout(lines).withColumn("stem", file_stem(F.col("path"))), registry)
+    sources = cut_lineage(sources)
+
+    def of_layout(kind: str) -> DataFrame:
+        return sources.filter(F.col("layout") == kind)
+
     grid = read_month_grid(
-        lines.join(kind.filter("layout = 'monthly_grid'"), "path", "left_semi"), value_col
+        lines.join(broadcast_if_small(of_layout("monthly_grid").select("path")), "path", "left_semi"), value_col
+    )
+    table = read_alias_csv(lines, of_layout("tabular").select("path", "first_line"), aliases, loose)
+    named = broadcast_if_small(
+        sources.select("path", F.col("station").alias("_name"), F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"))
     )
-    table = read_alias_csv(lines, layouts.filter("layout = 'tabular'").select("path", "first_line"), aliases, loose)
-    grid = _with_station(grid, registry).select(
+    grid = grid.join(named, "path").select(
         F.col("_name").alias(station), F.col("timestamp").alias(time), quoted(value_col),
         F.col("_lat").alias("latitude"), F.col("_lon").alias("longitude"),
     )
     numbers = [n for n in aliases if n not in (station, time, "latitude", "longitude")]
-    table = _with_station(table, registry).select(
+    table = table.join(named, "path").select(
         F.trim(F.coalesce(quoted(station), F.col("_name"))).alias(station),
         to_utc_naive(quoted(time)).alias(time),
         *[to_number(quoted(n)).alias(n) for n in numbers],
