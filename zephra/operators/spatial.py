@@ -1,9 +1,9 @@
 """Spatial joins without cross joins: wards by grid cell, nearest neighbours by descending a cell pyramid.
 
-Descent: items are counted in square cells, each depth splitting a cell into 4 x 4. A point starts with the 16 cells of
-depth 1, keeps those whose nearest corner is not farther than the farthest corner of the best one, and goes down until a
-cell holds few items. Per depth that is one equi-join on the cell; the work per point grows with the depth, not with
-the number of items, whether they are spread out or crowded into one place.
+Descent: items are counted in square cells, each depth splitting a cell into 4 x 4. A point first follows the one path of
+nearest cells down to some items, whose distance bounds the answer; then it goes down through all cells within that bound
+until a cell holds few items. Per depth that is one equi-join on the cell; the work per point grows with the depth, not
+with the number of items, whether they are spread out or crowded into one place.
 """
 
 from __future__ import annotations
@@ -91,6 +91,8 @@ def map_wards(points: DataFrame, wards: DataFrame) -> DataFrame:
 class Plane:
     """Distances in the plane; items are segments (a point is a segment of length 0)."""
 
+    items_are_points = False
+
     def lower(self, px: Column, py: Column) -> Column:
         dx = F.greatest(F.lit(0.0), F.col("x_lo") - px, px - F.col("x_hi"))
         dy = F.greatest(F.lit(0.0), F.col("y_lo") - py, py - F.col("y_hi"))
@@ -107,6 +109,8 @@ class Plane:
 
 @dataclass(frozen=True)
 class Points(Plane):
+    items_are_points = True
+
     def exact(self, px: Column, py: Column) -> Column:
         return degrees_apart(px, py, F.col("x1"), F.col("y1"))
 
@@ -115,6 +119,8 @@ class Points(Plane):
 class Sphere:
     """Great-circle kilometres; x is longitude, y latitude. Bounds compare the haversine itself."""
 
+    items_are_points = True
+
     @staticmethod
     def _sin2(deg: Column) -> Column:
         s = F.sin(F.radians(deg) / 2)
@@ -178,40 +184,73 @@ def nearest(
     depth = fine.agg(F.min("depth")).first()[0] or MAX_DEPTH
 
     px, py = F.col("px"), F.col("py")
-    frontier = pts.withColumns({"_best": F.lit(float("inf")), "_i": F.explode(F.sequence(F.lit(0), F.lit(15)))})
-    frontier = frontier.select("px", "py", "_best", (F.col("_i") % 4).cast("long").alias("ix"),
-                               F.floor(F.col("_i") / 4).cast("long").alias("iy"))
+    rest = [c for c in payload if c != "item_no"]
+
+    def level(d: int) -> tuple[DataFrame, DataFrame]:
+        """Items with their cell at a depth, and the cells with count and bounds."""
+        at = items.withColumns({"ix": cell(mid_x, x0, d), "iy": cell(mid_y, y0, d)})
+        bounds = [(F.min if c.endswith("lo") else F.max)(c).alias(c) for c in _BOX]
+        return at, at.groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("_n"), *bounds)
+
+    def below(df: DataFrame) -> DataFrame:
+        """The 16 cells within each cell."""
+        wide = df.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(15))))
+        return wide.withColumns({"ix": F.col("ix") * 4 + F.col("_i") % 4, "iy": F.col("iy") * 4 + F.floor(F.col("_i") / 4)}).drop("_i")
+
+    def without_self(df: DataFrame, d: int) -> DataFrame:
+        """Drops the cell that holds nothing but an item at the point itself."""
+        if not distinct_from_self:
+            return df
+        own = (cell(px, x0, d) == F.col("ix")) & (cell(py, y0, d) == F.col("iy"))
+        return df.filter(~(own & (F.col("_n") == 1) & (F.col("x_lo") == px) & (F.col("y_lo") == py)))
+
+    def items_of(df: DataFrame, at: DataFrame) -> DataFrame:
+        out = df.join(at, ["ix", "iy"])
+        return out.filter((F.col("x1") != px) | (F.col("y1") != py)) if distinct_from_self else out
+
+    root = pts.withColumns({"ix": F.lit(0).cast("long"), "iy": F.lit(0).cast("long")})
+
+    # First one path per point, always into the cell with the nearest corner: some item near by, hence a tight bound.
+    frontier = root.withColumn("_best", F.lit(float("inf")))
+    if depth > 1:
+        path, bound = root, None
+        for d in range(1, depth + 1):
+            at, cells = level(d)
+            here = without_self(below(path).join(cells, ["ix", "iy"]), d)
+            step = here.groupBy("px", "py").agg(F.min(F.struct(metric.lower(px, py).alias("lo"), "ix", "iy", "_n")).alias("_s"))
+            step = step.select("px", "py", "_s.ix", "_s.iy", "_s._n")
+            if depth > 2:
+                # Two reads follow; without the write every depth would run again for each one below it.
+                step = cut_lineage(step)
+            end = F.lit(d == depth) | (F.col("_n") <= CELL_ITEMS)
+            near = items_of(step.filter(end).select("px", "py", "ix", "iy"), at)
+            near = near.groupBy("px", "py").agg(F.min(metric.upper(px, py)).alias("_best"))
+            bound = near if bound is None else bound.unionByName(near)
+            path = step.filter(~end).select("px", "py", "ix", "iy")
+        frontier = root.join(bound, ["px", "py"])
+
+    # Then all cells within the bound.
     found = None
-    of_point = Window.partitionBy("px", "py")
     for d in range(1, depth + 1):
-        at = items.withColumns({"ix": cell(mid_x, x0, d), "iy": cell(mid_y, y0, d)})
-        cells = at.groupBy("ix", "iy").agg(
-            F.count(F.lit(1)).alias("_n"), *[(F.min if c.endswith("lo") else F.max)(c).alias(c) for c in _BOX]
-        )
-        here = frontier.join(cells, ["ix", "iy"])
-        usable = F.lit(True)
-        if distinct_from_self:
-            own = (cell(px, x0, d) == F.col("ix")) & (cell(py, y0, d) == F.col("iy"))
-            here = here.filter(~(own & (F.col("_n") == 1) & (F.col("x_lo") == px) & (F.col("y_lo") == py)))
-            usable = ~own | (F.col("_n") > 1)
-        here = here.withColumns({"_lo": metric.lower(px, py), "_hi": F.when(usable, metric.upper(px, py))})
-        here = here.withColumn("_best", F.least("_best", F.min("_hi").over(of_point)))
-        here = here.filter(F.col("_lo") <= F.col("_best") * _SLACK + 1e-12).select("px", "py", "_best", "ix", "iy", "_n")
+        at, cells = level(d)
+        wide = below(frontier)
+        if metric.items_are_points:
+            # Points lie inside their cell, so its outline can rule it out before the join.
+            w = side / 4.0**d
+            outline = {
+                "x_lo": x0 + F.col("ix") * w - w * 1e-6, "x_hi": x0 + (F.col("ix") + 1) * w + w * 1e-6,
+                "y_lo": y0 + F.col("iy") * w - w * 1e-6, "y_hi": y0 + (F.col("iy") + 1) * w + w * 1e-6,
+            }
+            wide = wide.withColumns(outline).filter(metric.lower(px, py) <= F.col("_best") * _SLACK + 1e-12).drop(*_BOX)
+        here = without_self(wide.join(cells, ["ix", "iy"]), d)
+        here = here.filter(metric.lower(px, py) <= F.col("_best") * _SLACK + 1e-12).select("px", "py", "_best", "ix", "iy", "_n")
+        if depth > 2:
+            here = cut_lineage(here)
         last = F.lit(d == depth) | (F.col("_n") <= CELL_ITEMS)
-        leaf = here.filter(last).select("px", "py", "ix", "iy").join(at, ["ix", "iy"])
-        if distinct_from_self:
-            leaf = leaf.filter((F.col("x1") != px) | (F.col("y1") != py))
-        leaf = leaf.select("px", "py", metric.exact(px, py).alias("distance"), "item_no", *[c for c in payload if c != "item_no"])
-        leaf = leaf.groupBy("px", "py").agg(
-            F.min(F.struct("distance", "item_no", *[c for c in payload if c != "item_no"])).alias("_f")
-        )
+        leaf = items_of(here.filter(last).select("px", "py", "ix", "iy"), at)
+        leaf = leaf.groupBy("px", "py").agg(F.min(F.struct(metric.exact(px, py).alias("distance"), "item_no", *rest)).alias("_f"))
         found = leaf if found is None else found.unionByName(leaf)
-        if d < depth:
-            child = F.explode(F.sequence(F.lit(0), F.lit(15)))
-            frontier = here.filter(~last).select("px", "py", "_best", "ix", "iy", child.alias("_i")).select(
-                "px", "py", "_best", (F.col("ix") * 4 + F.col("_i") % 4).alias("ix"),
-                (F.col("iy") * 4 + F.floor(F.col("_i") / 4)).alias("iy"),
-            )
+        frontier = here.filter(~last).select("px", "py", "_best", "ix", "iy")
     best = found.groupBy("px", "py").agg(F.min("_f").alias("_f"))
     return best.select("px", "py", "_f.distance", *[F.col(f"_f.{c}").alias(c) for c in payload])
 
