@@ -3,8 +3,8 @@
 The index holds a posting (document, position, term) for every occurrence of a benchmark word in the corpus. It is written
 once; every further step reads it instead of the texts. A window of ten consecutive benchmark words is looked up by its
 rarest word: each posting of that word, less the word's place in the item, is an offset at which the item may lie in the
-document. The lists of the neighbouring words, adjusted by their places, are intersected at these offsets only; ten places
-in a row that all agree are an occurrence. With ``slack`` a word may also lie that many places beside its own: proximity
+document. The list of the second rarest word, adjusted by its place, is intersected with these offsets, then those of all other words
+at the offsets left; ten places in a row that all agree are an occurrence. With ``slack`` a word may also lie that many places beside its own: proximity
 instead of phrase matches.
 
 Defined results: NULL equals an empty text and has no words. Items without words have no window; items without an id are
@@ -74,28 +74,46 @@ def _end_term() -> Column:
 
 
 def anchors(index: DataFrame, words: DataFrame) -> DataFrame:
-    """(item, _j, term, _n, _need) of the rarest word of every window that has all its words in the corpus."""
+    """(item, _j, term, _j2, term2, _n, _need): the two rarest words of every window that has all its words in the corpus.
+
+    A window of one word has that word twice.
+    """
     counts = index.filter(F.col("term") != _end_term()).groupBy("term").agg(F.count(F.lit(1)).alias("_c"))
     known = words.join(broadcast_if_small(cut_lineage(counts), 200_000), "term", "left").fillna(0, ["_c"])
-
-    def least(frame: int) -> Column:
-        ahead = Window.partitionBy(*ITEM).orderBy("_j").rowsBetween(0, frame - 1)
-        return F.min(F.struct("_c", "_j", "term")).over(ahead)
-
     # Whole windows have the full frame; an item shorter than that is one window, at its first word.
     longest = words.agg(F.max("_need")).first()[0] or 1
-    rare = known.withColumn("_a", least(longest)).filter(F.col("_j") <= F.col("_n") - F.col("_need"))
-    rare = rare.filter(F.col("_a._c") > 0)
-    return rare.select(*ITEM, F.col("_a._j").alias("_j"), F.col("_a.term").alias("term"), "_n", "_need").distinct()
+    ahead = Window.partitionBy(*ITEM).orderBy("_j").rowsBetween(0, longest - 1)
+    rare = known.withColumn("_a", F.sort_array(F.collect_list(F.struct("_c", "_j", "term")).over(ahead)))
+    rare = rare.filter((F.col("_j") <= F.col("_n") - F.col("_need")) & (F.col("_a")[0]["_c"] > 0))
+    first, second = F.col("_a")[0], F.coalesce(F.get("_a", F.lit(1)), F.col("_a")[0])
+    return rare.select(
+        *ITEM, first["_j"].alias("_j"), first["term"].alias("term"), second["_j"].alias("_j2"), second["term"].alias("term2"), "_n", "_need"
+    ).distinct()
 
 
 def runs(index: DataFrame, words: DataFrame, slack: int = 0) -> DataFrame:
     """(doc_id, _h, _item, pos): every document word inside an occurrence of a window; rows may repeat over items' copies."""
     words = cut_lineage(words)
     found = cut_lineage(anchors(index, words))
-    at = index.join(broadcast_if_small(found, 100_000), "term")
-    at = at.select(*DOC, *ITEM, (F.col("pos") - F.col("_j")).alias("_off"), F.col("_j").alias("_a"), "_n", "_need").distinct()
-    at = cut_lineage(at)
+
+    def around(df: DataFrame, name: str, value: Column) -> DataFrame:
+        """``value`` and, for proximity, all values within ``slack`` of it."""
+        return df.withColumn(name, F.explode(F.array(*[value + e for e in range(-slack, slack + 1)])) if slack else value)
+
+    def offsets(place: str, term: str, beside: bool) -> DataFrame:
+        """Where the item would begin, by the postings of one word of each window."""
+        pairs = broadcast_if_small(found.withColumn("_t", F.col(term)), 100_000)
+        at, begin = index.join(pairs, index["term"] == pairs["_t"]), F.col("pos") - F.col(place)
+        at = around(at, "_off", begin) if beside else at.withColumn("_off", begin)
+        return at.select(*DOC, *ITEM, "_off", "_j", "_j2", "_n", "_need")
+
+    # The rarest words' lists are intersected first; the others are read only where these two agree.
+    at, also = offsets("_j", "term", False), offsets("_j2", "term2", True)
+    same = at["doc_id"].eqNullSafe(also["doc_id"])
+    for c in ("_h", *ITEM, "_off", "_j", "_j2"):
+        same = same & (at[c] == also[c])
+    at = at.join(also, same, "left_semi").select(*DOC, *ITEM, "_off", F.col("_j").alias("_a"), "_n", "_need")
+    at = cut_lineage(at.distinct())
     # Only places that share a window with the anchor can be part of its occurrences.
     reach = F.sequence(
         F.greatest(F.lit(0), F.col("_a") - F.col("_need") + 1), F.least(F.col("_n") - 1, F.col("_a") + F.col("_need") - 1)
@@ -103,7 +121,7 @@ def runs(index: DataFrame, words: DataFrame, slack: int = 0) -> DataFrame:
     places = at.select(*DOC, *ITEM, "_off", "_need", F.explode(reach).alias("_j")).distinct()
     terms = words.select(*ITEM, "_j", "term")
     expected = places.join(broadcast_if_small(terms, 200_000), [*ITEM, "_j"])
-    expected = expected.withColumn("pos", F.explode(F.array(*[F.col("_off") + F.col("_j") + e for e in range(-slack, slack + 1)])))
+    expected = around(expected, "pos", F.col("_off") + F.col("_j"))
     touched = broadcast_if_small(at.select("doc_id", "_h").distinct(), 500_000)
     lists = index.join(touched, index["doc_id"].eqNullSafe(touched["doc_id"]) & (index["_h"] == touched["_h"]), "left_semi")
     same = (
