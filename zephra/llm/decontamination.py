@@ -62,7 +62,7 @@ def item_words(items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def build_index(docs: DataFrame, words: DataFrame) -> DataFrame:
     """Postings (doc_id, _h, pos, term) of the words given, and of the end of every document, as a written table."""
-    wanted = words.select("word").unionByName(words.sparkSession.createDataFrame([(_END,)], "word string")).distinct()
+    wanted = words.select("word").unionByName(words.sparkSession.range(1).select(F.lit(_END).alias("word"))).distinct()
     wanted = broadcast_if_small(cut_lineage(wanted.withColumn("term", F.xxhash64("word"))), 200_000)
     all_words = F.concat(words_of(F.col("text")), F.array(F.lit(_END)))
     tokens = docs.select("doc_id", text_key().alias("_h"), F.posexplode(all_words).alias("pos", "word"))
