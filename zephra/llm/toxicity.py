@@ -153,7 +153,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
             if len(seen) > 500_000:
                 yield pd.DataFrame({"term": [k[0] for k in seen], "toxic": [k[1] for k in seen], "n": list(seen.values())})
                 seen.clear()
-        yield pd.DataFrame({"term": [k[0] for k in seen], "toxic": [k[1] for k in seen], "n": list(seen.values())}).astype({"n": "int64"})
+        if seen:
+            yield pd.DataFrame({"term": [k[0] for k in seen], "toxic": [k[1] for k in seen], "n": list(seen.values())})
 
     counts = rows.mapInPandas(counted, "term string, toxic int, n long").groupBy("term").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("y1"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("y0")
@@ -179,7 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
                 words = words_of(text)
                 seen[(y, 0.0)] += len(words)
                 seen.update((y, round(s, 2)) for s in map(m.word, words) if s)
-        yield pd.DataFrame({"toxic": [k[0] for k in seen], "score": [k[1] for k in seen], "n": list(seen.values())}).astype({"score": "float64", "n": "int64"})
+        if seen:
+            yield pd.DataFrame({"toxic": [k[0] for k in seen], "score": [k[1] for k in seen], "n": list(seen.values())})
 
     found = rows.mapInPandas(background, "toxic int, score double, n long").groupBy("toxic", "score").agg(F.sum("n").alias("n")).collect()
     n = {y: sum(r.n for r in found if r.toxic == y and r.score == 0) or 1 for y in (0, 1)}
