@@ -114,7 +114,7 @@ def test_report_registration(spark):
     a, b = fusion.register_reports(df).orderBy("File Name").collect()
     assert (a["AI Confidence"], a["Severity Score"], a["GPS Coords"], a["Status"], a["File Name"]) == ("94.2%", "82 / 100", "12.9716, 77.5946", "Verified", "Citizen_Photo.jpg")
     assert (b["AI Confidence"], b["Severity Score"], b["GPS Coords"], b["Status"], b["AI Category"]) == ("65.0%", "75 / 100", "12.5000, 77.2500", "Pending", "Dust")
-    assert a["Reference ID"].startswith("ARG-2026-") and len(a["Reference ID"]) == 14
+    assert a["Reference ID"].startswith("ARG-2026-") and len(a["Reference ID"]) == 9 + fusion.REFERENCE_DIGITS
 
 
 def test_timeline_has_twelve_points(spark):

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from zephra.fixed_values import POLICY_FALLBACK, POLICY_INTRO
 from zephra.functions import bands, risk
+from zephra.functions.text import quoted
 from zephra.sources import registry
 
+REFERENCE_DIGITS = 16
 GROUND, CITIZEN, SATELLITE = "Ground Sensor", "Citizen Photo Report", "Sentinel-5P Satellite"
 
 
@@ -174,12 +177,18 @@ def recent_reports(reports: DataFrame, n: int = 10) -> DataFrame:
 
 
 def register_reports(events: DataFrame) -> DataFrame:
-    """Report events to rows of the report table: reference id, time, formatted figures, status."""
+    """Report events to rows of the report table: reference id, time in UTC, formatted figures, status.
+
+    The id comes from the other nine columns, so an event delivered again gets the id it had. Events without a time are
+    registered at the present one and are new each time.
+    """
     conf = F.col("confidence")
-    number = F.upper(F.substring(F.uuid(), 1, 5))
-    return events.select(
-        F.concat(F.lit("ARG-2026-"), number).alias("Reference ID"),
-        F.date_format(F.coalesce("reported_at", F.current_timestamp()), "yyyy-MM-dd HH:mm:ss").alias("Timestamp"),
+    at = F.col("reported_at")
+    if isinstance(events.schema["reported_at"].dataType, T.TimestampType):
+        at = F.convert_timezone(F.current_timezone(), F.lit("UTC"), at.cast("timestamp_ntz"))
+    now = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.current_timestamp().cast("timestamp_ntz"))
+    rows = events.select(
+        F.date_format(F.coalesce(at, now), "yyyy-MM-dd HH:mm:ss").alias("Timestamp"),
         F.col("station").alias("Station"),
         F.col("incident_type").alias("Incident Type"),
         F.coalesce("file_name", F.lit("Citizen_Photo.jpg")).alias("File Name"),
@@ -191,3 +200,6 @@ def register_reports(events: DataFrame) -> DataFrame:
         .alias("GPS Coords"),
         risk.report_status(conf).alias("Status"),
     )
+    text = F.concat_ws("\x1f", *[F.coalesce(quoted(c), F.lit("\x00")) for c in rows.columns])
+    number = F.upper(F.substring(F.sha2(text, 256), 1, REFERENCE_DIGITS))
+    return rows.select(F.concat(F.lit("ARG-2026-"), number).alias("Reference ID"), *[quoted(c) for c in rows.columns])

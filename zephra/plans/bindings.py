@@ -303,3 +303,14 @@ def oracle(body: str, *roles: str, extra: dict[str, str] | None = None, recursiv
     parts = [f"{n} AS ({CTES[n]})" for n in order] + [f"{n} AS ({q})" for n, q in (extra or {}).items()]
     head = "WITH RECURSIVE " if recursive else "WITH "
     return head + ", ".join(parts) + " " + body if parts else body
+
+
+#: Registered reports of the role ``reports``; {file} is the file name of an event, NULL if it has none.
+_REGISTERED = """SELECT 'ARG-2026-' || upper(substr(sha256(concat_ws(chr(31), "Timestamp", "Station", "Incident Type", "File Name", "AI Category",
+    "AI Confidence", "Severity Score", "GPS Coords", "Status")), 1, 16)) AS "Reference ID", * FROM (
+    SELECT strftime(reported_at, '%Y-%m-%d %H:%M:%S') AS "Timestamp", station AS "Station", incident_type AS "Incident Type",
+    coalesce({file}, 'Citizen_Photo.jpg') AS "File Name", incident_type AS "AI Category",
+    printf('%.1f%%', confidence) AS "AI Confidence", severity || ' / 100' AS "Severity Score",
+    printf('%.4f, %.4f', lat, lon) AS "GPS Coords", CASE WHEN confidence >= 70 THEN 'Verified' ELSE 'Pending' END AS "Status" FROM reports)"""
+REGISTERED_SQL = _REGISTERED.format(file="NULL")
+REGISTERED_WITH_FILE_SQL = _REGISTERED.format(file="'photo_' || report_no")

@@ -8,7 +8,7 @@ from zephra.fixed_values import ACTIONS, ADVISORIES, HIDDEN_LABEL, PLANS, RISK_W
 from zephra.functions import bands, geo, risk
 from zephra.operators import features, fusion
 from zephra.plans import bindings as b
-from zephra.plans.bindings import READING_KEY, oracle
+from zephra.plans.bindings import READING_KEY, REGISTERED_SQL, oracle
 from zephra.plans.catalog import query
 from zephra.plans.feature_queries import band_sql, daily, season_sql
 
@@ -349,13 +349,18 @@ def recent_reports(spark, d):
     )
 
 
-@query("S9_register_reports")
+@query(
+    "S9_register_reports",
+    oracle(
+        REGISTERED_SQL,
+        "reports",
+    ),
+)
 def register_reports(spark, d):
-    """Report rows with fresh reference ids (random, so rows only)."""
+    """Report rows with all ten columns; ids come from the other nine."""
     r = b.parse_reports(b.reports(spark, d))
     events = r.select(
         "station", "incident_type", F.lit(None).cast("string").alias("file_name"), F.col("incident_type").alias("category"),
-        F.col("confidence"), F.col("severity").cast("double").alias("severity"), "lat", "lon",
-        F.col("reported_at").cast("timestamp").alias("reported_at"),
+        F.col("confidence"), F.col("severity").cast("double").alias("severity"), "lat", "lon", "reported_at",
     )
     return fusion.register_reports(events)

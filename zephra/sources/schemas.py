@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-from zephra.fixed_values import POLLUTANTS
+from zephra.fixed_values import POLLUTANTS, REPORT_COLUMNS
 
 
 def _strings(*names: str) -> list[T.StructField]:
@@ -58,3 +58,21 @@ REPORT_EVENTS = T.StructType(
         T.StructField("reported_at", T.TimestampType()),
     ]
 )
+REPORTS = T.StructType(_strings(*REPORT_COLUMNS))
+FEED_CLEAN = T.StructType(
+    [
+        *_strings("station", "city", "state"),
+        *_doubles("latitude", "longitude"),
+        T.StructField("last_update", T.TimestampNTZType()),
+        *_strings("pollutant_id"),
+        *_doubles("pollutant_min", "pollutant_max", "pollutant_avg"),
+    ]
+)
+ALERTS = T.StructType(
+    [
+        T.StructField("window_start", T.TimestampNTZType()),
+        *_strings("ward_name"),
+        T.StructField("alerts", T.LongType()),
+        *_doubles("top_score"),
+    ]
+)
