@@ -38,7 +38,7 @@ def test_grid_and_table_files(spark, tmp_path):
     dirs = [str(tmp_path / "hist"), str(tmp_path / "live"), str(tmp_path / "gone")]
     found = [r["path"] for r in files.list_sources(spark, dirs).collect()]
     assert sorted(p.rsplit("/", 1)[1] for p in found) == ["BTM_Layout-2021.csv", "my_site_2020.csv"]
-    kinds = {r["path"].rsplit("/", 1)[1]: r["layout"] for r in files.classify_layout(files.read_lines(spark, dirs[:2])).collect()}
+    kinds = {r["path"].rsplit("/", 1)[1]: r["layout"] for r in files.classify_layout(files.file_heads(spark, dirs[:2])).collect()}
     assert kinds == {"BTM_Layout-2021.csv": "monthly_grid", "my_site_2020.csv": "tabular"}
     out = files.load_series(spark, dirs)
     rows = {(r["station"], str(r["timestamp"])): r for r in out.collect()}
@@ -89,6 +89,69 @@ def test_reports_backfill(spark, tmp_path):
     assert r["Station"] == "S, x" and r["AI Category"] == "N/A" and r["Status"] == "N/A"
 
 
+BROKEN = 'Note,Station,"Date\nTime",PM2.5\n"two\nlines, ""quoted""",A,2023-01-01 10:00:00,10\n\nplain,B,2023-01-02 10:00:00,20\n'
+
+
+@pytest.mark.parametrize("whole_bytes", [256 << 20, 0])
+def test_line_breaks_in_quotes_and_headers_in_any_order(spark, tmp_path, monkeypatch, whole_bytes):
+    monkeypatch.setattr(files, "WHOLE_BYTES", whole_bytes)
+    folder = tmp_path / "a+b [1] 50%25 {x}"
+    _write(folder, "broken.csv", "\ufeff" + BROKEN)
+    _write(folder, "other.csv", "PM2.5,Date Time,Station\n30,2023-01-03 10:00:00,C\n")
+    _write(folder, "empty.csv", "")
+    _write(folder, "blank.csv", "\n,,\n")
+    _write(folder, "alone.csv", "Station,Date,PM2.5\n")
+    _write(folder / "grid", "Peenya 2021.csv", "Year,2021\nMarch-2021,00:00\n1,5\n")
+    out = files.load_series(spark, [str(folder)])
+    rows = {(r["station"], str(r["timestamp"]), r["PM2.5"]) for r in out.filter("`PM2.5` is not null").collect()}
+    assert rows == {
+        ("A", "2023-01-01 10:00:00", 10.0), ("B", "2023-01-02 10:00:00", 20.0), ("C", "2023-01-03 10:00:00", 30.0),
+        ("Peenya, Bengaluru - KSPCB", "2021-03-01 00:00:00", 5.0),
+    }
+    heads = {r["path"].rsplit("/", 1)[1]: r["header"] for r in files.file_heads(spark, files.literal_path(str(folder))).collect()}
+    assert heads["broken.csv"][0] == "Note" and set(heads) == {"broken.csv", "other.csv", "alone.csv", "Peenya%202021.csv"}
+    table = files.read_by_name(spark, [files.literal_path(str(folder / "broken.csv")), files.literal_path(str(folder / "other.csv"))])
+    assert {(r["Note"], r["Station"]) for r in table.collect()} == {('two\nlines, "quoted"', "A"), ("plain", "B"), (None, "C")}
+
+
+def test_long_files_are_read_only_at_their_head(spark, tmp_path):
+    _write(tmp_path, "long.csv", "Station,Date,pm25\n" + "S,2023-01-01 10:00:00,1\n" * 200_000)
+    _write(tmp_path, "short.csv", "Date,Station,pm25\n2023-01-01 10:00:00,T,1\n")
+    heads = files.file_heads(spark, str(tmp_path))
+    assert {tuple(r["header"]) for r in heads.collect()} == {("Station", "Date", "pm25"), ("Date", "Station", "pm25")}
+    found = files.read_alias_csv(spark, heads, {"station": ["station"], "timestamp": ["date"], "SO2": ["so2"]})
+    assert {(r["station"], r["n"]) for r in found.groupBy("station").agg(F.count("timestamp").alias("n")).collect()} == {("S", 200_000), ("T", 1)}
+    assert found.filter("SO2 is not null").count() == 0
+
+
+def test_columns_by_name_with_repeated_and_empty_headers(spark, tmp_path):
+    _write(tmp_path, "1.csv", "a,,A,b\n1,2,3,NA\n")
+    _write(tmp_path, "2.csv", "b,a\n4,5\nonly\n6,7,8\n")
+    rows = files.read_tabular(spark, str(tmp_path))
+    assert rows.columns == ["a", "_c1", "A.1", "b"]
+    assert {tuple(r) for r in rows.collect()} == {("1", "2", "3", None), ("5", None, None, "4"), (None, None, None, "only"), ("7", None, None, "6")}
+    with pytest.raises(FileNotFoundError):
+        _write(tmp_path / "none", "x.csv", "")
+        files.read_tabular(spark, str(tmp_path / "none"))
+
+
+def test_appended_reports_conform_or_are_refused(spark, tmp_path):
+    folder = str(tmp_path / "reports")
+    files.append_reports(spark.createDataFrame([("S", "Pending")], ["Station", "Status"]), folder)
+    with pytest.raises(ValueError, match="Weather"):
+        files.append_reports(spark.createDataFrame([("S", "x")], ["Station", "Weather"]), folder)
+    _write(tmp_path / "reports", "by_hand.csv", "Status,Station,Reference ID\nVerified,T,A1\n")
+    rows = {(r["Station"], r["Status"], r["Reference ID"], r["Timestamp"]) for r in files.read_reports(spark, folder).collect()}
+    assert rows == {("S", "Pending", "N/A", "N/A"), ("T", "Verified", "A1", "N/A")}
+
+
+def test_files_that_differ_in_case_only_count_once(spark, tmp_path):
+    for name in ("Peenya.csv", "peenya.csv"):
+        _write(tmp_path, name, "Date,pm25\n2023-01-01 10:00:00,1\n")
+    assert files.list_sources(spark, [str(tmp_path), str(tmp_path)]).count() == 1
+    assert files.load_series(spark, [str(tmp_path)]).count() == 1
+
+
 def _png(path, rgb):
     h, w, _ = rgb.shape
     raw = b"".join(b"\0" + rgb[y].tobytes() for y in range(h))

@@ -101,7 +101,7 @@ def classify_layout(spark, d):
         F.concat_ws(",", "l_shipdate", "l_quantity").alias("text"),
     )
     _write_text(table, folder + "/table", ["site", "year"], "line")
-    found = files.classify_layout(files.read_lines(spark, folder, "part-*"))
+    found = files.classify_layout(files.file_heads(spark, folder, "part-*"))
     return found.select(
         _site_of(F.col("path")).alias("site"), F.regexp_extract("path", "year=([0-9a-z]+)", 1).alias("year"), "layout"
     )
@@ -113,30 +113,34 @@ def classify_layout(spark, d):
 @query(
     "S5_alias_csv",
     oracle(
-        """SELECT station, CASE WHEN part_no % 2 = 0 THEN timestamp - INTERVAL 330 MINUTE ELSE timestamp END AS timestamp, order_no, line_no,
-        part_no, round(pm25, 2) AS pm25, CASE WHEN part_no % 2 = 0 THEN round(pm10, 2) END AS pm10, round(latitude, 4) AS latitude FROM readings""",
+        """SELECT station || CASE order_no % 5 WHEN 0 THEN chr(10) || 'site "B", ' || line_no ELSE '' END AS station,
+        CASE WHEN part_no % 3 = 0 THEN timestamp - INTERVAL 330 MINUTE ELSE timestamp END AS timestamp, order_no, line_no,
+        part_no, round(pm25, 2) AS pm25, CASE WHEN part_no % 3 < 2 THEN round(pm10, 2) END AS pm10, round(latitude, 4) AS latitude FROM readings""",
         "readings",
     ),
 )
 def alias_csv(spark, d):
-    """Two header layouts written as CSV and read back through one plan."""
+    """Three headers, two of them the same columns in another order, and stations that go over a line break inside quotes."""
     folder = _folder(spark)
     rows = b.readings(spark, d)
     key = F.concat_ws("-", "order_no", "line_no", "part_no")
     day = F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")
     pm25 = F.coalesce(F.col("pm25").cast("string"), F.lit("NA"))
-    even = rows.filter("part_no % 2 = 0").select(
-        key.alias("NH3 key"), F.col("station").alias("Station Name"), F.concat(day, F.lit("+05:30")).alias("Date_Time"),
-        pm25.alias("PM2.5 (ug/m3)"), F.col("pm10").alias("PM 10"), F.col("latitude").alias("Lat"), F.col("longitude").alias("Lng"),
+    name = F.when(F.col("order_no") % 5 == 0, F.concat("station", F.lit('\nsite "B", '), "line_no")).otherwise(F.col("station"))
+    columns = [
+        key.alias("NH3 key"), name.alias("Station Name"), pm25.alias("PM2.5 (ug/m3)"), F.col("pm10").alias("PM 10"),
+        F.col("latitude").alias("Lat"), F.col("longitude").alias("Lng"),
+    ]
+    one = rows.select("part_no", *columns, F.concat(day, F.lit("+05:30")).alias("Date_Time"))
+    two = rows.select("part_no", day.alias("Date_Time"), *reversed(columns))
+    three = rows.select(
+        "part_no", F.col("longitude").alias("lon"), F.col("latitude").alias("lat"), pm25.alias("pm25"), day.alias("time\nstamp"),
+        name.alias("station"), key.alias("nh3"),
     )
-    odd = rows.filter("part_no % 2 = 1").select(
-        F.col("longitude").alias("lon"), F.col("latitude").alias("lat"), pm25.alias("pm25"), day.alias("timestamp"),
-        F.col("station").alias("station"), key.alias("nh3"),
-    )
-    even.write.option("header", "true").csv(folder + "/a")
-    odd.write.option("header", "true").csv(folder + "/b")
-    lines = files.read_lines(spark, folder)
-    out = files.read_alias_csv(lines, files.first_lines(lines), SERIES_ALIASES)
+    for i, part in enumerate((one, two, three)):
+        part = part.filter(F.col("part_no") % 3 == i).drop("part_no")
+        part.write.option("header", "true").option("escape", '"').csv(f"{folder}/{i}")
+    out = files.read_alias_csv(spark, files.file_heads(spark, folder), SERIES_ALIASES)
     keys = F.split("NH3", "-")
     return out.select(
         "station", to_utc_naive(F.col("timestamp")).alias("timestamp"),
@@ -149,19 +153,26 @@ def alias_csv(spark, d):
 @query(
     "S1_S2_S8_tabular_roundtrip",
     """SELECT p_partkey::VARCHAR AS p_partkey, CASE p_partkey % 3 WHEN 0 THEN NULL ELSE p_name END AS p_name,
-    CASE p_size % 4 WHEN 1 THEN NULL ELSE p_type END AS p_type FROM part""",
+    CASE WHEN p_partkey % 2 = 1 OR p_size % 4 = 1 THEN NULL ELSE p_type END AS p_type,
+    CASE WHEN p_partkey % 2 = 1 THEN p_brand || chr(10) || p_size END AS note, folder, n_files FROM part,
+    (SELECT 2::BIGINT AS n_files), (SELECT 'a+b [1] 50%25' AS folder)""",
 )
 def tabular_roundtrip(spark, d):
-    """Save as CSV, find the files, read them back with null tokens."""
-    folder = _folder(spark)
+    """Save as CSV with two headers, find the files, read them back by name with null tokens; the folder's name holds odd signs."""
+    top = _folder(spark)
+    folder = f"{top}/a+b [1] 50%25"
     part = b.table(spark, d, "part").select(
         "p_partkey", F.when(F.col("p_partkey") % 3 == 0, "NaN").otherwise(F.col("p_name")).alias("p_name"),
         F.when(F.col("p_size") % 4 == 1, "none").otherwise(F.col("p_type")).alias("p_type"),
+        F.concat("p_brand", F.lit("\n"), F.col("p_size").cast("string")).alias("note"),
     )
-    files.save(part, folder, "csv")
-    found = files.list_sources(spark, [folder, folder + "/missing", folder])
-    read = files.read_tabular(spark, folder)
-    return read.filter(found.agg(F.count(F.lit(1)).alias("n")).scalar() > 0)
+    even = F.col("p_partkey") % 2 == 0
+    files.save(part.filter(even).drop("note").coalesce(1), f"{folder}/even", "csv")
+    files.save(part.filter(~even).select("note", "p_name", "p_partkey").coalesce(1), f"{folder}/odd", "csv")
+    found = [r["path"] for r in files.list_sources(spark, [top, folder + "/missing", top]).collect()]
+    read = files.read_tabular(spark, [files.literal_path(p) for p in found])
+    where = {p.split(top.rsplit("/", 1)[1] + "/")[1].split("/")[0] for p in found}
+    return read.withColumns({"folder": F.lit(",".join(sorted(where))), "n_files": F.lit(len(found)).cast("long")})
 
 
 def _write_feed(spark, d) -> str:
@@ -191,17 +202,21 @@ def realtime_feed(spark, d):
 @query(
     "S10_read_reports",
     oracle(
-        """SELECT reference_id AS "Reference ID", strftime(reported_at, '%Y-%m-%d %H:%M:%S') AS "Timestamp", station AS "Station",
-        incident_type AS "Incident Type", 'N/A' AS "File Name", 'N/A' AS "AI Category", printf('%.1f%%', confidence) AS "AI Confidence",
+        """SELECT reference_id AS "Reference ID", CASE report_no % 3 WHEN 0 THEN 'N/A' ELSE strftime(reported_at, '%Y-%m-%d %H:%M:%S') END AS "Timestamp",
+        station AS "Station", incident_type AS "Incident Type", CASE report_no % 3 WHEN 1 THEN 'photo_' || report_no || '.jpg' ELSE 'N/A' END AS "File Name",
+        CASE report_no % 3 WHEN 0 THEN incident_type ELSE 'N/A' END AS "AI Category", printf('%.1f%%', confidence) AS "AI Confidence",
         severity || ' / 100' AS "Severity Score", printf('%.4f, %.4f', lat, lon) AS "GPS Coords", status AS "Status" FROM reports""",
         "reports",
     ),
 )
 def read_reports(spark, d):
-    """Appended to a CSV table without two of its columns, read back with ``N/A``."""
+    """One folder whose files lack different columns, in different orders, and rows appended to it; read back with ``N/A``."""
     folder = _folder(spark)
     r = b.reports(spark, d).withColumn("Timestamp", F.date_format("Timestamp", "yyyy-MM-dd HH:mm:ss"))
-    files.append_reports(r.drop("report_no", "File Name", "AI Category"), folder)
+    part = lambda i: r.filter(F.col("report_no") % 3 == i).drop("report_no")
+    files.append_reports(part(2).drop("File Name", "AI Category"), folder)
+    for rows in (part(0).drop("Timestamp", "File Name"), part(1).drop("AI Category").select(*reversed(part(1).drop("AI Category").columns))):
+        rows.write.mode("append").option("header", "true").option("escape", '"').csv(folder)
     return files.read_reports(spark, folder)
 
 
@@ -222,7 +237,7 @@ def load_series(spark, d):
         F.col("latitude").alias("Latitude"), F.col("longitude").alias("Longitude"),
     )
     files.save(rows, folder + "/live", "csv")
-    out = files.load_series(spark, [folder], STATIONS, pattern="part-*")
+    out = files.load_series(spark, [folder, folder + "/gone"], STATIONS, pattern="part-*")
     # A grid names its station by its file name, here the part name that Spark gave it.
     return out.select(
         "station", "timestamp", F.round("`PM2.5`", 4).alias("pm25"), F.round("PM10", 4).alias("pm10")

@@ -31,9 +31,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the checkpoint folder and continue from the written table."""
-    spark = df.sparkSession
+def cut_lineage(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+    """Write ``df`` once to the checkpoint folder and continue from the written table (in the session ``spark``, if given)."""
+    spark = spark or df.sparkSession
     path = f"{checkpoint_root(spark)}/zephra-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
