@@ -2,11 +2,12 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from zephra.functions import geo
-from zephra.operators import spatial
+from zephra.operators import cover, spatial
 from zephra.sources.geojson import read_wards
 
 
@@ -98,7 +99,7 @@ def test_wards_from_geojson(spark, tmp_path):
         (5.0, 5.0): "over", (20.5, 0.5): "two", (10.5, 0.5): "two", (15.0, 0.5): None, (0.0, 0.0): None,
     }
     df = spark.createDataFrame([(float(x), float(y)) for x, y in pts], "longitude double, latitude double")
-    got = {(r["longitude"], r["latitude"]): r["ward_name"] for r in spatial.spatial_within(df, wards, cell=0.7).collect()}
+    got = {(r["longitude"], r["latitude"]): r["ward_name"] for r in spatial.spatial_within(df, wards).collect()}
     assert got == {k: v for k, v in pts.items() if v}
     full = {(r["longitude"], r["latitude"]): r["ward_name"] for r in spatial.map_wards(df, wards).collect()}
     assert full[15.0, 0.5] in ("two",) and full[4.0, 2.0] == "holed" and full[1.5, 1.5] == "holed" and len(full) == len(pts)
@@ -114,3 +115,74 @@ def test_utm_matches_known_point(spark):
     arc = 0.9996 * 6378137.0 * math.radians(1)
     assert abs(rows[1]["e"] - 500000 - arc * (1 + math.radians(1) ** 2 / 6 * (1 + 0.00674))) < 1
     assert 780000 < rows[2]["e"] < 782000 and 1434000 < rows[2]["n"] < 1437000
+
+
+def _brute_inside(px, py, e):
+    """Even-odd rule of points against edges (x1, y1, x2, y2), in blocks."""
+    out = np.zeros(len(px), dtype=bool)
+    for at in range(0, len(px), 50):
+        x, y = px[at : at + 50, None], py[at : at + 50, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cut = (e[:, 2] - e[:, 0]) * (y - e[:, 1]) / (e[:, 3] - e[:, 1]) + e[:, 0]
+        out[at : at + 50] = (((e[:, 1] > y) != (e[:, 3] > y)) & (x < cut)).sum(axis=1) % 2 == 1
+    return out
+
+
+def _outline(n, cx, cy, r, wobble, seed):
+    rnd = np.random.default_rng(seed)
+    t = np.sort(rnd.random(n)) * 2 * np.pi
+    radius = r * (1 + 0.2 * np.sin(5 * t) + wobble * rnd.random(n))
+    x, y = cx + radius * np.cos(t), cy + radius * np.sin(t)
+    return np.column_stack([x, y, np.roll(x, -1), np.roll(y, -1)])
+
+
+def _edges(spark, outlines):
+    import pandas as pd
+
+    parts = [pd.DataFrame(o, columns=["x1", "y1", "x2", "y2"]).assign(pos=i) for i, o in enumerate(outlines)]
+    return spark.createDataFrame(pd.concat(parts)).select(F.col("pos").cast("long"), "x1", "y1", "x2", "y2")
+
+
+def test_country_sized_outline(spark):
+    outline = _outline(100_000, 77.0, 20.0, 12.0, 0.002, 4)
+    edges = _edges(spark, [outline]).repartition(8)
+    found = cover.polygon_cover(edges)
+    border = found.border.withColumn("n", F.size("edges")).cache()
+    cells, kept, most = border.agg(F.count("n"), F.sum("n"), F.max("n")).first()
+    whole = found.whole.count()
+    assert most <= cover.CELL_EDGES and kept < 1.6 * len(outline) and cells + whole < 0.2 * len(outline)
+    rnd = np.random.default_rng(6)
+    far = np.column_stack([60 + 34 * rnd.random(1500), 3 + 34 * rnd.random(1500)])
+    near = outline[rnd.integers(len(outline), size=1500), :2] + rnd.normal(0, 1e-4, (1500, 2))
+    pts = np.vstack([far, near, outline[:20, :2]])
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in pts], "longitude double, latitude double")
+    got = {(r["longitude"], r["latitude"]) for r in cover.polygon_of(df, found, "longitude", "latitude").collect()}
+    want = _brute_inside(pts[:, 0], pts[:, 1], outline)
+    want[-20:] = False  # corners of the outline itself
+    assert got == {tuple(p) for p, w in zip(pts.tolist(), want) if w} and 500 < len(got) < 2500
+
+
+@pytest.mark.parametrize("capacity", [2, 64])
+def test_overlapping_polygons_take_the_first(spark, monkeypatch, capacity):
+    monkeypatch.setattr(cover, "CELL_EDGES", capacity)
+    monkeypatch.setattr(cover, "MAX_DEPTH", 5)
+    outlines = [_outline(7 + 5 * k, (k * 3) % 7, (k * 5) % 11, 1.5 + k % 3, 0.3, k) for k in range(12)]
+    square = np.array([[0, 0, 4, 0], [4, 0, 4, 4], [4, 4, 0, 4], [0, 4, 0, 0], [1, 1, 1, 2], [1, 2, 2, 2], [2, 2, 2, 1], [2, 1, 1, 1]], dtype=float)
+    outlines.append(square)
+    edges = _edges(spark, outlines)
+    rnd = np.random.default_rng(9)
+    pts = np.vstack([rnd.random((800, 2)) * 14 - 2, [[0.0, 0.0], [4.0, 2.0], [1.0, 1.5], [1.5, 1.5]]])
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in pts], "longitude double, latitude double")
+    got = {(r["longitude"], r["latitude"]): r["pos"] for r in cover.polygon_of(df, cover.polygon_cover(edges), "longitude", "latitude").collect()}
+    want = np.full(len(pts), -1)
+    for k in reversed(range(len(outlines))):
+        inside = _brute_inside(pts[:, 0], pts[:, 1], outlines[k])
+        if k == 12:
+            inside[-4:] = False
+        want[inside] = k
+    assert got == {tuple(p): w for p, w in zip(pts.tolist(), want.tolist()) if w >= 0}
+
+
+def test_no_polygon_at_all(spark, tmp_path):
+    wards = read_wards(spark, _geojson(tmp_path)).filter(F.lit(False))
+    assert spatial.spatial_within(spark.createDataFrame([(1.0, 1.0)], "longitude double, latitude double"), wards).collect() == []

@@ -1,4 +1,4 @@
-"""Spatial joins without cross joins: wards by grid cell, nearest neighbours by descending a cell pyramid.
+"""Spatial joins without cross joins: wards by a cover of cells, nearest neighbours by descending a cell pyramid.
 
 Descent: items are counted in square cells, each depth splitting a cell into 4 x 4. A point first follows the one path of
 nearest cells down to some items, whose distance bounds the answer; then it goes down through all cells within that bound
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from zephra.functions.geo import deg_to_km, degrees_apart, haversine_km, segment_distance, utm_xy
+from zephra.operators.cover import Cover, polygon_cover, polygon_of
 from zephra.scale import cut_lineage
 
 CELL_ITEMS = 16
@@ -35,44 +36,20 @@ def spread_duplicates(df: DataFrame, order: Sequence[str], step: float = 0.003)
 # --- wards ----------------------------------------------------------------------------------------------------------
 
 
-def _inside(edges: Column, px: Column, py: Column) -> Column:
-    """Even-odd rule; a point on an edge is outside."""
+def ward_cover(wards: DataFrame) -> Cover | None:
+    return polygon_cover(wards.select("pos", F.explode("edges").alias("e")).select("pos", "e.*"))
 
-    def crosses(e: Column) -> Column:
-        at = (e["x2"] - e["x1"]) * (py - e["y1"]) / F.when(e["y1"] != e["y2"], e["y2"] - e["y1"]) + e["x1"]
-        return ((e["y1"] > py) != (e["y2"] > py)) & F.coalesce(px < at, F.lit(False))
 
-    def touches(e: Column) -> Column:
-        cross = (e["x2"] - e["x1"]) * (py - e["y1"]) - (e["y2"] - e["y1"]) * (px - e["x1"])
-        within = px.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])) & py.between(
-            F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])
-        )
-        return (cross == 0) & within
-
-    return (F.size(F.filter(edges, crosses)) % 2 == 1) & ~F.exists(edges, touches)
-
-
-def spatial_within(points: DataFrame, wards: DataFrame, cell: float = 0.02) -> DataFrame:
+def spatial_within(points: DataFrame, wards: DataFrame) -> DataFrame:
     """(longitude, latitude, pos, ward_name) for each distinct coordinate inside a ward; of several the first ward.
 
-    Coordinates are collapsed before the join; cells narrow the candidates, edges decide.
+    A point on an outline is outside. Coordinates meet the cells of a cover of the wards, not the wards.
     """
-    coords = points.select("longitude", "latitude").dropna().distinct().withColumns(
-        {"cx": F.floor(F.col("longitude") / cell), "cy": F.floor(F.col("latitude") / cell)}
-    )
-
-    def span(axis: str) -> Column:
-        return F.explode(F.sequence(F.floor(F.col(f"{axis}_lo") / cell), F.floor(F.col(f"{axis}_hi") / cell)))
-
-    index = wards.select("pos", *_BOX, span("x").alias("cx")).select("pos", "cx", *_BOX, span("y").alias("cy"))
-    near = coords.join(index, ["cx", "cy"]).filter(
-        F.col("longitude").between(F.col("x_lo"), F.col("x_hi")) & F.col("latitude").between(F.col("y_lo"), F.col("y_hi"))
-    )
-    hits = near.select("longitude", "latitude", "pos").join(wards.select("pos", "ward_name", "edges"), "pos")
-    hits = hits.filter(_inside(F.col("edges"), F.col("longitude"), F.col("latitude")))
-    return hits.groupBy("longitude", "latitude").agg(
-        F.min("pos").alias("pos"), F.min_by("ward_name", "pos").alias("ward_name")
-    )
+    at = ["longitude", "latitude"]
+    cover = ward_cover(wards)
+    if cover is None:
+        return points.select(*at).join(wards.select("pos", "ward_name"), F.lit(False), "inner")
+    return polygon_of(points, cover, *at).join(wards.select("pos", "ward_name"), "pos").select(*at, "pos", "ward_name")
 
 
 def map_wards(points: DataFrame, wards: DataFrame) -> DataFrame:
