@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from zephra.functions import geo
 from zephra.operators import cover, spatial
-from zephra.sources.geojson import read_wards
+from zephra.sources.geojson import _feature_records, read_wards
 
 
 def crowd(n, seed):
@@ -186,3 +186,41 @@ def test_overlapping_polygons_take_the_first(spark, monkeypatch, capacity):
 def test_no_polygon_at_all(spark, tmp_path):
     wards = read_wards(spark, _geojson(tmp_path)).filter(F.lit(False))
     assert spatial.spatial_within(spark.createDataFrame([(1.0, 1.0)], "longitude double, latitude double"), wards).collect() == []
+
+
+def _feature(name, coords, first="type"):
+    body = {"type": "Feature", "properties": {"ward_name": name}, "geometry": {"type": "Polygon", "coordinates": coords}}
+    return dict(sorted(body.items(), key=lambda kv: kv[0] != first))
+
+
+SQUARE = [[[0, 0], [4, 0], [4, 4], [0, 4], [0, 0]]]
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+@pytest.mark.parametrize("first", ["type", "properties"])
+def test_features_in_any_layout(spark, tmp_path, indent, first):
+    names = ["a", 'b "Feature" }', "c]}", None, "Feature", "é"]
+    if first == "type":
+        names[4] = "plain"  # the very word as a value sends the file the other way, as does a type that is not first
+    features = [_feature(n, SQUARE, first) for n in names]
+    features.append({"type": "Feature", "properties": None, "geometry": None})
+    for k in (1, 2):
+        path = tmp_path / f"{k}.geojson"
+        path.write_text("\ufeff" * (k == 2 and first == "type") + json.dumps({"type": "FeatureCollection", "crs": {"type": "name"}, "features": features}, indent=indent))
+    rows = read_wards(spark, str(tmp_path)).orderBy("pos").collect()
+    assert [(r["pos"], r["ward_name"]) for r in rows] == list(enumerate([*names, None] * 2))
+    assert [len(r["edges"]) if r["edges"] is not None else None for r in rows] == [4, 4, 4, 4, 4, 4, None] * 2
+
+
+def test_one_large_collection_is_read_by_many_tasks(spark, tmp_path):
+    features = [_feature(f"w{i}", [[[i, 0], [i + 1, 0], [i + 1, 1], [i, 1], [i, 0]]]) for i in range(4000)]
+    path = tmp_path / "large.geojson"
+    path.write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        parts = _feature_records(spark, str(path))
+        assert parts.rdd.getNumPartitions() > 8
+        rows = {r["pos"]: r["ward_name"] for r in read_wards(spark, str(path)).select("pos", "ward_name").collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert rows == {i: f"w{i}" for i in range(4000)}

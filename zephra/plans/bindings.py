@@ -149,8 +149,8 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def wards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """25 wards on a 5 x 5 grid, some L-shaped and some with a hole; the grid leaves some stations outside."""
+def ward_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pos, ward_name, rings) of 25 wards on a 5 x 5 grid, some L-shaped and some with a hole; some stations lie outside."""
     k = F.col("n_nationkey")
     x0 = F.lit(77.47) + (k % 5).cast("double") * 0.05
     y0 = F.lit(12.87) + F.floor(k / 5).cast("double") * 0.045
@@ -172,9 +172,12 @@ def wards(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("pos") % 7 == 3, F.array(square, hole))
         .otherwise(F.array(square))
     )
-    out = base.withColumns(corner).select(
-        "pos", "ward_name", F.flatten(F.transform(rings, ring_edges)).alias("edges")
-    )
+    return base.withColumns(corner).select("pos", "ward_name", rings.alias("rings"))
+
+
+def wards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pos, ward_name, edges, bounds)."""
+    out = ward_rings(spark, sf_dir).select("pos", "ward_name", F.flatten(F.transform("rings", ring_edges)).alias("edges"))
     return with_bounds(out)
 
 

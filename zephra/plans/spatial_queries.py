@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from zephra.functions import bands
-from zephra.operators import fusion, spatial
+from zephra.operators import cleaning, fusion, spatial
 from zephra.plans import bindings as b
 from zephra.plans.bindings import oracle
 from zephra.plans.catalog import query
 from zephra.plans.feature_queries import band_sql
 from zephra.plans.scalar_queries import SENSORS_SQL, haversine_sql, sensors
+from zephra.scale import checkpoint_root
+from zephra.sources import geojson
 
 _CROSS = "((e.y1 > p.latitude) <> (e.y2 > p.latitude) AND p.longitude < (e.x2 - e.x1) * (p.latitude - e.y1) / (CASE WHEN e.y1 <> e.y2 THEN e.y2 - e.y1 END) + e.x1)"
 _TOUCH = """((e.x2 - e.x1) * (p.latitude - e.y1) - (e.y2 - e.y1) * (p.longitude - e.x1) = 0 AND p.longitude BETWEEN least(e.x1, e.x2)
@@ -24,12 +28,21 @@ WITHIN_SQL = f"""SELECT longitude, latitude, min(pos) AS pos, arg_min(ward_name,
     """SELECT pos, ward_name, count(*)::INT AS edges, round(min(x1), 6) AS x_lo, round(max(x1), 6) AS x_hi,
     round(min(y1), 6) AS y_lo, round(max(y1), 6) AS y_hi FROM ward_edges GROUP BY 1, 2""", "ward_edges"))
 def ward_polygons(spark, d):
-    """Polygons exploded to edges, with bounds."""
-    return b.wards(spark, d).select(
+    """Wards written as one GeoJSON collection, some as polygons of several parts, and read back to edges with bounds."""
+    wards = _wards_from_file(spark, d)
+    return wards.select(
         "pos", "ward_name", F.size("edges").alias("edges"), *[F.round(c, 6).alias(c) for c in ("x_lo", "x_hi", "y_lo", "y_hi")]
     )
 
 
+def _wards_from_file(spark, d):
+    folder = f"{checkpoint_root(spark)}/wards-{uuid.uuid4().hex}"
+    rings = b.ward_rings(spark, d)
+    parts = F.when(F.col("pos") % 3 == 1, F.transform("rings", lambda r: F.array(r)))
+    geojson.feature_text(rings.withColumn("polygons", parts), folder)
+    return geojson.read_wards(spark, folder)
+
+
 @query(
     "J5_spatial_within",
     oracle(
@@ -87,6 +100,30 @@ def nearest_ward(spark, d):
     return outside.join(found, ["longitude", "latitude"]).select("pos", "station", "ward_name", F.round("metres", 3).alias("metres"))
 
 
+_MAPPED = """SELECT s.pos, s.station, coalesce(w.ward_name, n.ward_name) AS ward_name, w.pos IS NOT NULL AS inside
+    FROM stations s LEFT JOIN within_ward w USING (longitude, latitude) LEFT JOIN near_ward n ON n.pos = s.pos"""
+_MAPPED_CTES = {"within_ward": WITHIN_SQL, **NEAREST_WARD_CTES, "mapped": _MAPPED}
+
+
+@query("S6_J5_J6_map_wards", oracle("SELECT * FROM mapped", "stations", "ward_edges", extra=_MAPPED_CTES))
+def map_wards(spark, d):
+    """Stations mapped to wards read from a file: the ward around them, else the nearest one."""
+    return spatial.map_wards(b.stations(spark, d), _wards_from_file(spark, d)).select("pos", "station", "ward_name", "inside")
+
+
+@query(
+    "A13_ward_counts",
+    oracle(
+        "SELECT ward_name AS label, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM mapped), 6) AS share FROM mapped GROUP BY 1",
+        "stations", "ward_edges", extra=_MAPPED_CTES,
+    ),
+)
+def ward_counts(spark, d):
+    """Stations per ward."""
+    mapped = spatial.map_wards(b.stations(spark, d), b.wards(spark, d))
+    return cleaning.value_counts(mapped, "ward_name").withColumn("share", F.round("share", 6))
+
+
 @query(
     "J7_nearest_station",
     oracle(

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zephra.fixed_values import WARD_NAME_PROPERTIES
+from zephra.scale import cut_lineage, ranked
 from zephra.sources.schemas import GEOJSON
 
+_FEATURE = '"Feature"'
+
 
 def ring_edges(ring: Column) -> Column:
     """Ring of [x, y] points to an array of edges; an open ring is closed."""
@@ -37,9 +42,45 @@ def with_bounds(wards: DataFrame) -> DataFrame:
     )
 
 
-def read_wards(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, ward_name, edges, bounds). x is longitude, y latitude."""
-    features = spark.read.schema(GEOJSON).json(path, multiLine=True).select(F.posexplode("features").alias("pos", "f"))
+def _feature_records(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame | None:
+    """(_at, f) per feature, cut from the text before each is parsed; None where features do not begin with their type.
+
+    The text is split at the word "Feature": a long file is read by many tasks, and what follows the word up to the end of
+    the feature is parsed alone, as a JSON reader takes no notice of what comes behind.
+    """
+    raw = spark.read.text(paths, lineSep=_FEATURE).select(
+        F.struct(
+            F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+            F.monotonically_increasing_id().alias("line"),
+        ).alias("_at"),
+        "value",
+    )
+    opened = F.col("value").rlike(r"\{\s*\"type\"\s*:\s*$")
+    odd = raw.filter(~opened).groupBy("_at.path").agg(F.count(F.lit(1)).alias("n"))  # only the end of a file may be so
+    if not odd.filter("n > 1").isEmpty():
+        return None
+    rest = raw.filter(~F.col("value").rlike(r"^[\ufeff\s]*\{"))
+    parsed = F.from_json(F.concat(F.lit('{"type":' + _FEATURE), "value"), GEOJSON["features"].dataType.elementType)
+    return rest.select("_at", parsed.alias("f"))
+
+
+def read_features(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """(pos, f) of all features in file order; collections in any JSON layout, features of any size."""
+    found = _feature_records(spark, paths)
+    if found is None:
+        whole = spark.read.schema(GEOJSON).json(paths, multiLine=True)
+        at = F.struct(F.col("_metadata.file_path").alias("path"), F.lit(0).cast("long").alias("start"), F.col("i").cast("long").alias("line"))
+        found = whole.select("_metadata", F.posexplode("features").alias("i", "f")).select(at.alias("_at"), "f")
+    flat = found.select(F.col("_at.path").alias("_path"), F.col("_at.start").alias("_start"), F.col("_at.line").alias("_line"), "f")
+    return ranked(flat, [], ["_path", "_start", "_line"], "_n").select((F.col("_n") - 1).cast("long").alias("pos"), "f")
+
+
+def read_wards(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """(pos, ward_name, edges, bounds). x is longitude, y latitude.
+
+    The name is the first of the known properties that any feature has, else the feature's number.
+    """
+    features = cut_lineage(read_features(spark, paths))
     props = F.col("f.properties")
     have = features.agg(
         *[F.max(F.coalesce(F.map_contains_key(props, c), F.lit(False))).alias(f"h{i}")
@@ -52,6 +93,27 @@ def read_wards(spark: SparkSession, path: str) -> DataFrame:
         F.col("f.geometry.type") == "MultiPolygon",
         F.flatten(F.from_json(coords, "array<array<array<array<double>>>>")),
     ).otherwise(F.from_json(coords, "array<array<array<double>>>"))
-    wards = features.select(F.col("pos").cast("long"), name.alias("ward_name"), rings.alias("rings"))
+    wards = features.select("pos", name.alias("ward_name"), rings.alias("rings"))
     wards = wards.select("pos", "ward_name", F.flatten(F.transform("rings", ring_edges)).alias("edges"))
     return with_bounds(wards)
+
+
+def feature_text(wards: DataFrame, path: str, name: str = "ward_name") -> None:
+    """Writes (pos, name, rings) as one feature collection, in the order of ``pos``, as a single text file below ``path``.
+
+    A ward of several outer rings comes as ``polygons``, an array of arrays of rings.
+    """
+    multi = "polygons" in wards.columns
+    kind = F.when(F.col("polygons").isNotNull(), "MultiPolygon").otherwise("Polygon") if multi else F.lit("Polygon")
+    plain = F.to_json("rings")
+    coords = F.when(F.col("polygons").isNotNull(), F.to_json("polygons")).otherwise(plain) if multi else plain
+    first = wards.agg(F.min("pos")).first()[0]
+    text = F.concat(
+        F.when(F.col("pos") == first, "").otherwise(","), F.lit('{"type": "Feature", "properties": '), F.to_json(F.struct(F.col(name))),
+        F.lit(', "geometry": {"type": "'), kind, F.lit('", "coordinates": '), coords, F.lit("}}"),
+    )
+    spark = wards.sparkSession
+    ends = spark.createDataFrame([(0, '{"type": "FeatureCollection", "features": ['), (2, "]}")], "part int, value string")
+    lines = wards.select(F.lit(1).alias("part"), "pos", text.alias("value"))
+    lines = lines.unionByName(ends.withColumn("pos", F.lit(None).cast("long")))
+    lines.coalesce(1).sortWithinPartitions("part", "pos").select("value").write.text(path)
