@@ -196,6 +196,50 @@ def test_tokens_of_unknown_tag_are_not_taught_as_outside():
     assert [text[a:b] for a, b in secret_scan.field_spans(text, w, t)] == ["xK9dQ2mZ7pL4wT8v"]
 
 
+def test_personal_data_is_added_by_context(spark):
+    """Candidates that no base form takes: announced ones are added, numbers announced as something else are not."""
+    model = pii.fit(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+
+    def splits(node):
+        if node.getClass().getSimpleName() == "LeafNode":
+            return []
+        return [node.split().featureIndex(), *splits(node.leftChild()), *splits(node.rightChild())]
+
+    assert pii.CONTEXT_FEATURES & {f for root in model.trees for f in splits(root)} and len(set(model.thresholds.values())) >= 3
+    good, bad = [], []
+    for i in range(60):
+        number = f"{200 + i}-555-{1000 + 37 * i}"
+        good += [f"please {['call', 'phone:', 'fax', 'mobile'][i % 4]} {number} today", f"{['mail', 'contact'][i % 2]} ann.lee{i} [at] mail{i}.example [dot] com now"]
+        bad += [f"the {['order', 'invoice', 'serial', 'ticket'][i % 4]} {number} is late", f"part no. {number} of {i}"]
+    rows = [(i, t, "clash") for i, t in enumerate(good + bad)]
+    got = pii.find(frame(spark, rows, "doc_id long, text string, _base string"), model).collect()
+    added = {r.doc_id for r in got if r._added}
+    caught = len([i for i in added if i < len(good)])
+    assert caught >= 0.9 * len(good) and caught >= 0.9 * len(added)
+    assert not any(r._base for r in got)
+
+
+def test_personal_data_in_a_text_of_many_matches(spark):
+    import time
+
+    n = 100_000
+    text = " ".join(f"user{i}@mail.example.com" for i in range(n))
+    docs = frame(spark, [(1, text), (2, text[:-4]), (3, None)], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in pii.find(docs, pii.Model()).select("doc_id", F.size("_base").alias("n"), F.element_at("_base", -1).alias("last")).filter("n > 0").collect()}
+    assert got[1].n == got[2].n == n and got[1].last.end == len(text) and text[got[1].last.start :] == f"user{n - 1}@mail.example.com"
+    out = {r.doc_id: r.text for r in pii.redacted(docs, pii.Model()).collect()}
+    assert out[1] == out[2] == " ".join(["[EMAIL]"] * n) and out[3] is None
+    assert time.time() - began < 90
+
+
+def test_running_folds_and_isotonic_fit(spark):
+    for values in ([], [5], list(range(300)), [(7 * i * i) % 101 for i in range(1000)]):
+        row = spark.createDataFrame([(values,)], "v array<bigint>").select(pii._sums(F.col("v")).alias("s"), pii._maxima(F.col("v")).alias("m")).first()
+        assert row.s == [sum(values[:i]) for i in range(len(values))] and row.m == [max([0, *values[:i]]) for i in range(len(values))]
+    assert pii.isotonic([(3, 1, 1), (1, 2, 1), (2, 2, 0), (4, 4, 3)]) == [(1, 0.25), (3, 0.8)]
+
+
 def test_registered_queries_and_columns(spark):
     found, sqls = catalog.load()
     assert [int(n[2:].split("_")[0]) for n in found] == list(range(1, 14)) and set(sqls) <= set(found)
