@@ -52,6 +52,54 @@ def test_html_smoothing_and_very_long_pages(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, html string")).collect() == []
 
 
+STORY = "".join(f"<div>{'The river rose again in the night and the road was closed. ' * 4}{i}</div>" for i in range(6))
+TOLD = " ".join("The river rose again in the night and the road was closed. " * 4 + str(i) for i in range(6))
+
+
+def test_html_without_any_names():
+    links = "<div><a href=/>Home</a> <a href=/a>News</a> <a href=/b>Sport</a></div>"
+    page = f"<body>{links}<div><div>Heading here</div>{STORY}</div><div>Ann wrote: I do not agree with this at all, sorry.</div><div>Imprint</div></body>"
+    assert html_text.main_text(page) == "Heading here " + TOLD
+
+
+def test_html_ratio_finds_the_article_of_pages_stripped_of_names(monkeypatch):
+    """Elements and class names of the table's pages made plain: what the names tell must come from the ratio."""
+    import pandas as pd
+
+    pages = pd.read_parquet("/root/testdata/sf0.1/pages.parquet").html.tolist()
+    bare = [re.sub(r' (class|id|role)="[^"]*"', "", re.sub(r"<(/?)(nav|article|footer|aside|header|main|section|form)\b[^>]*>", r"<\1div>", h)) for h in pages]
+    want = [html_text.main_text(h) for h in pages]
+    got = [html_text.main_text(h) for h in bare]
+    right = sum(a == b for a, b in zip(got, want))
+    assert right >= 0.94 * len(pages)
+    monkeypatch.setattr(html_text, "content_lines", lambda lines: ([True] * len(lines), 0.0))
+    every = [html_text.main_text(h) for h in bare]
+    assert sum(a == b for a, b in zip(every, want)) < right and sum(a != b for a, b in zip(every, got)) >= 100
+
+
+@pytest.mark.parametrize("name", ["article-header", "post-header", "entry-header", "header"])
+def test_html_headings_of_an_article_stay(name):
+    assert html_text.main_text(f"<body><article><div class='{name}'><h1>Title of it</h1></div>{STORY}</article></body>") == "Title of it " + TOLD
+
+
+def test_html_side_matter_goes_even_where_it_is_long():
+    comments = "<section class='comments'><p>" + "I think so too and more of that. " * 40 + "</p></section>"
+    advert = "<div class='ad'>" + "Buy this now and save. " * 30 + "</div>"
+    banner = "<div class='banner'>Sale today</div>"
+    assert html_text.main_text(f"<body>{banner}{advert}<article>{STORY}{comments}</article><footer>{STORY}</footer></body>") == TOLD
+    assert html_text.main_text(f"<body><div hidden>{STORY}</div><div>{STORY}</div></body>") == TOLD
+
+
+def test_html_with_very_many_open_elements():
+    import time
+
+    began = time.time()
+    assert html_text.main_text("<div>x " * 50_000).count("x") == 50_000
+    assert html_text.main_text("<p>" + "<b>x " * 50_000 + "</i></u><p>y" * 2000).count("y") == 2000
+    assert html_text.main_text("<table><tr><td>" * 10_000 + "z").endswith("z")
+    assert time.time() - began < 30
+
+
 # 2 ---------------------------------------------------------------------------------------------------------------------
 
 
