@@ -96,3 +96,11 @@ def test_multimodal_hidden_hotspot(spark):
     r = out[0]
     assert r["cluster_id"] == 1 and r["point_count"] == 4 and r["is_hidden_hotspot"]
     assert r["sources"] == "Citizen Photo Report, Sentinel-5P Satellite" and r["min_sensor_dist_km"] > 2
+
+
+def test_points_without_a_coordinate_are_noise(spark):
+    rows = [("r", 0.5, i, 1.0, 1.0) for i in range(3)] + [("r", 0.5, 3, None, 1.0), ("r", 0.5, 4, 1.0, None), ("r", 0.5, 5, None, None)] * 1
+    df = spark.createDataFrame(rows, "run string, eps double, pid long, x double, y double")
+    got = {r["pid"]: r["cluster"] for r in clustering.dbscan(df, 3).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: -1, 4: -1, 5: -1}
+    assert {r["cluster"] for r in clustering.dbscan(df.filter("pid > 2"), 1).collect()} == {-1}

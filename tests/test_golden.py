@@ -34,7 +34,7 @@ def test_sweep_choice_labels_and_areas(spark):
         for r in table
     ]
     assert got == CLUSTERS
-    assert all(r["part"] == 0 and r["station_count"] == 3 and r["avg_pm10"] is None for r in table)
+    assert all(r["ward_count"] == len(r["wards"].split(", ")) and r["station_count"] == 3 and r["avg_pm10"] is None for r in table)
     areas = fusion.policy_brief(fusion.priority_areas(clustering.hotspot_clusters(chosen), chosen)).collect()
     assert {r["area"] for r in areas} == AREAS
     assert {r["recommendation_text"] for r in areas} == {POLICY_FALLBACK}
@@ -43,15 +43,28 @@ def test_sweep_choice_labels_and_areas(spark):
     assert texts.filter("area = 'Cluster 1'").first()["recommendation_text"] == "Do this"
 
 
-def test_long_lists_continue_in_parts(spark):
-    rows = spark.range(25).select(
+def test_a_large_cluster_is_one_row_and_one_prompt(spark):
+    rows = spark.range(5025).select(
         F.col("id").alias("pos"), F.concat(F.lit("s"), F.col("id")).alias("station"),
-        F.concat(F.lit("w"), F.col("id") % 3).alias("ward_name"), F.lit(0).alias("cluster"),
+        F.when(F.col("id") != 7, F.concat(F.lit("w"), F.col("id") % 3)).alias("ward_name"),
+        F.when(F.col("id") < 5000, 0).when(F.col("id") < 5010, 1).otherwise(-1).alias("cluster"),
+        F.lit(12.9).alias("latitude"), F.lit(77.6).alias("longitude"), F.lit(80.0).alias("severity"), F.lit(1.0).alias("pm25"), F.lit(2.0).alias("pm10"),
     )
-    parts = clustering.packed_lists(rows, per_row=10).orderBy("part").collect()
-    assert [len(p["stations"].split("; ")) for p in parts] == [10, 10, 5]
-    assert parts[0]["wards"] == "w0, w1, w2" and parts[1]["wards"] is None
-    assert "; ".join(p["stations"] for p in parts) == "; ".join(f"s{i}" for i in range(25))
+    big, small = clustering.hotspot_clusters(rows).orderBy("cluster_id").collect()
+    assert (big["station_count"], big["ward_count"], big["wards"]) == (5000, 3, "w0, w1, w2")
+    names = big["stations"].split("; ")
+    assert names[:1000] == [f"s{i}" for i in range(1000)] and names[1000:] == ["and 4000 more"]
+    assert small["stations"] == "; ".join(f"s{i}" for i in range(5000, 5010))
+    members = clustering.cluster_members(rows)
+    got = [(r["cluster_id"], r["number"], r["station"]) for r in members.orderBy("cluster_id", "number").collect()]
+    assert got == [(0, i + 1, f"s{i}") for i in range(5000)] + [(1, i + 1, f"s{5000 + i}") for i in range(10)]
+    assert clustering.member_lines(members).filter("cluster_id = 0 and number = 8").first()["line"] == "8. s7 (Unknown)"
+    prompts = fusion.policy_brief(fusion.priority_areas(clustering.hotspot_clusters(rows), rows)).collect()
+    assert len(prompts) == 2 + 15 and len([p for p in prompts if p["area"] == "Cluster 0"]) == 1
+    from zephra.operators import features
+
+    hot = features.hotspot_stations(members, rows.filter("cluster = -1").select("station", "cluster"))
+    assert hot.count() == 5010
 
 
 def test_quality_identities(spark):

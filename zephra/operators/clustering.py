@@ -34,6 +34,7 @@ from zephra.scale import cut_lineage, percentiles, ranked
 # Two boxes with at most this many core points each are compared point by point.
 BOX_POINTS = 64
 # Points of one cell are spread over buckets of about this size before thinly filled cells look them up.
+SHOWN_NAMES = 1000
 BUCKET_POINTS = 4096
 _CELL = ["run", "cx", "cy"]
 _BOX = ["x_lo", "x_hi", "y_lo", "y_hi"]
@@ -201,8 +202,11 @@ def cluster_coords(points: DataFrame, min_samples: int = MIN_SAMPLES) -> DataFra
 
 
 def dbscan(points: DataFrame, min_samples: int = MIN_SAMPLES) -> DataFrame:
-    """``points`` with their ``cluster``."""
-    return points.join(cluster_coords(points, min_samples), ["run", "x", "y"])
+    """``points`` with their ``cluster``; a point without a full coordinate has no neighbour and is noise."""
+    placed = F.col("x").isNotNull() & F.col("y").isNotNull()
+    found = points.filter(placed).join(cluster_coords(points.filter(placed), min_samples), ["run", "x", "y"])
+    rest = points.filter(~placed).withColumn("cluster", F.lit(-1))
+    return found.unionByName(rest.select(*found.columns))
 
 
 # --- station sweeps -------------------------------------------------------------------------------------------------
@@ -277,28 +281,44 @@ def cluster_summary(labelled: DataFrame) -> DataFrame:
     )
 
 
-def packed_lists(labelled: DataFrame, per_row: int = 1000) -> DataFrame:
-    """(cluster_id, part, wards, stations): names joined in station order, wards without repetition.
+def cluster_members(labelled: DataFrame) -> DataFrame:
+    """(cluster_id, number, station, ward_name): the stations of every cluster, numbered in their order."""
+    members = labelled.filter(F.col("cluster") >= 0).select("cluster", "pos", "station", "ward_name")
+    placed = ranked(members, ["cluster"], ["pos"], "_n")
+    return placed.select(F.col("cluster").alias("cluster_id"), F.col("_n").cast("long").alias("number"), "station", "ward_name")
 
-    A row holds at most ``per_row`` names. Clusters up to that size have the single part 0; larger ones continue in
-    further parts, so that no list is built whole in one task.
+
+def member_lines(members: DataFrame) -> DataFrame:
+    """(cluster_id, number, line): the member table as numbered lines of text."""
+    return members.select("cluster_id", "number", F.format_string("%d. %s (%s)", "number", "station", F.coalesce("ward_name", F.lit("Unknown"))).alias("line"))
+
+
+def name_lists(labelled: DataFrame, shown: int = SHOWN_NAMES) -> DataFrame:
+    """(cluster_id, ward_count, wards, stations), one row per cluster whatever its size.
+
+    Names come in station order, wards without repetition. Beyond the first ``shown`` a text says how many follow; the
+    member table has them all.
     """
     members = labelled.filter(F.col("cluster") >= 0)
 
-    def packed(rows: DataFrame, column: str, sep: str) -> DataFrame:
-        placed = ranked(rows, ["cluster"], ["pos"], "_n").withColumn("part", F.floor((F.col("_n") - 1) / per_row))
-        lists = placed.groupBy("cluster", "part").agg(F.sort_array(F.collect_list(F.struct("pos", column))).alias("_l"))
-        return lists.select("cluster", "part", F.array_join(F.transform("_l", lambda e: e[column]), sep).alias(f"{column}s"))
+    def listed(rows: DataFrame, column: str, sep: str) -> DataFrame:
+        placed = ranked(rows.filter(F.col(column).isNotNull()), ["cluster"], ["pos"], "_n")
+        few = F.when(F.col("_n") <= shown, F.struct("_n", column))
+        lists = placed.groupBy("cluster").agg(F.sort_array(F.collect_list(few)).alias("_l"), F.count(F.lit(1)).alias(f"_{column}s"))
+        names = F.array_join(F.transform("_l", lambda e: e[column]), sep)
+        more = F.col(f"_{column}s") - shown
+        text = F.when(more > 0, F.concat(names, F.format_string(f"{sep}and %d more", more))).otherwise(names)
+        return lists.select("cluster", text.alias(f"{column}s"), f"_{column}s")
 
-    stations = packed(members.select("cluster", "pos", "station"), "station", "; ")
+    stations = listed(members.select("cluster", "pos", "station"), "station", "; ")
     wards = members.groupBy("cluster", F.col("ward_name").alias("ward")).agg(F.min("pos").alias("pos"))
-    both = stations.join(packed(wards, "ward", ", "), ["cluster", "part"], "left")
-    return both.select(F.col("cluster").alias("cluster_id"), "part", "wards", "stations")
+    both = stations.join(listed(wards, "ward", ", "), "cluster", "left")
+    return both.select(F.col("cluster").alias("cluster_id"), F.coalesce("_wards", F.lit(0)).cast("long").alias("ward_count"), "wards", "stations")
 
 
-def hotspot_clusters(labelled: DataFrame) -> DataFrame:
-    """The hotspot table: summary plus name lists."""
-    return cluster_summary(labelled).join(packed_lists(labelled), "cluster_id")
+def hotspot_clusters(labelled: DataFrame, shown: int = SHOWN_NAMES) -> DataFrame:
+    """The hotspot table: one row per cluster, summary and names."""
+    return cluster_summary(labelled).join(name_lists(labelled, shown), "cluster_id")
 
 
 def ranked_clusters(clusters: DataFrame) -> DataFrame:

@@ -60,8 +60,9 @@ def training_rows(daily: DataFrame, strict_days: bool = False) -> DataFrame:
 
 
 def hotspot_stations(clusters: DataFrame, wards: DataFrame) -> DataFrame:
-    """Stations named in the clusters' packed lists, and those labelled 0 or 1."""
-    listed = clusters.select(F.explode(split_list(F.col("stations"))).alias("station"))
+    """Stations of the clusters, and those labelled 0 or 1; ``clusters`` is a member table or has packed lists."""
+    packed = "station" not in clusters.columns
+    listed = clusters.select((F.explode(split_list(F.col("stations"))) if packed else F.col("station")).alias("station"))
     labelled = wards.filter(F.col("cluster").isin(0, 1)).select("station")
     return listed.unionByName(labelled).distinct()
 

@@ -11,6 +11,7 @@ from zephra.plans.bindings import oracle, rnd
 from zephra.plans.catalog import query
 from zephra.plans.quality_queries import SEVERITY_CTES, severity
 from zephra.plans.scalar_queries import POINTS_SQL, SENSORS_SQL, ZONE_SQL, haversine_sql, points, sensors
+from zephra.scale import cut_lineage
 
 _POS = {
     "sev": """SELECT s.*, st.pos, 'Ward_' || st.s_nationkey AS ward_name FROM severity_by_station s
@@ -42,7 +43,7 @@ _SWEEP = {
         {rnd('sum(longitude * severity) / sum(severity)', 6)} AS center_longitude, {rnd('avg(severity)', 4)} AS avg_severity,
         {rnd('avg(pm25)', 4)} AS avg_pm25, {rnd('avg(pm10)', 4)} AS avg_pm10, count(*) AS station_count,
         string_agg(station, '; ' ORDER BY pos) AS stations FROM chosen WHERE cluster >= 0 GROUP BY 1""",
-    "ward_lists": """SELECT cluster AS cluster_id, string_agg(ward_name, ', ' ORDER BY first_pos) AS wards FROM (SELECT cluster, ward_name,
+    "ward_lists": """SELECT cluster AS cluster_id, string_agg(ward_name, ', ' ORDER BY first_pos) AS wards, count(*) AS ward_count FROM (SELECT cluster, ward_name,
         min(pos) AS first_pos FROM chosen WHERE cluster >= 0 GROUP BY 1, 2) GROUP BY 1""",
     "areas": """SELECT 'Cluster ' || c.cluster_id AS area, wards, avg_severity, avg_pm25, avg_pm10, stations FROM clusters c
         JOIN ward_lists USING (cluster_id) UNION ALL SELECT 'Standalone - ' || station, ward_name, round(severity, 1), NULL, NULL,
@@ -113,11 +114,24 @@ def label_candidates(spark, d):
 _CLUSTER_OUT = "cluster_id, center_latitude, center_longitude, avg_severity, avg_pm25, avg_pm10, station_count"
 
 
-@query("A11_cluster_summary", _sweep_sql(f"SELECT {_CLUSTER_OUT}, 0::BIGINT AS part, wards, stations FROM clusters JOIN ward_lists USING (cluster_id)"))
+@query("A11_cluster_summary", _sweep_sql(f"SELECT {_CLUSTER_OUT}, ward_count, wards, stations FROM clusters JOIN ward_lists USING (cluster_id)"))
 def cluster_summary(spark, d):
     return clustering.hotspot_clusters(_chosen(spark, d))
 
 
+@query(
+    "A11_cluster_members",
+    _sweep_sql(
+        """SELECT cluster AS cluster_id, number, station, ward_name, number || '. ' || station || ' (' || ward_name || ')' AS line FROM (
+        SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY pos) AS number FROM chosen WHERE cluster >= 0)"""
+    ),
+)
+def cluster_members(spark, d):
+    """Every station of every cluster, as rows and as numbered lines."""
+    members = cut_lineage(clustering.cluster_members(_chosen(spark, d)))
+    return members.join(clustering.member_lines(members), ["cluster_id", "number"])
+
+
 @query("O4_ranked_clusters", _sweep_sql(f"SELECT {_CLUSTER_OUT} FROM clusters ORDER BY avg_severity DESC, cluster_id"))
 def ranked_clusters(spark, d):
     return clustering.ranked_clusters(clustering.cluster_summary(_chosen(spark, d)))
