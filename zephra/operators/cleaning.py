@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from zephra.fixed_values import CITY_NAMES, FEED_INDEX, FEED_NULL_TOKENS, NULL_TOKENS, POLLUTANTS, STATIONS
 from zephra.functions.text import clean_stem, norm_key, null_tokens, quoted, to_number, to_time
-from zephra.scale import BLOCK, carried, percentiles
+from zephra.scale import BLOCK, carried, cut_lineage, percentiles
 
 
 def nullify(df: DataFrame, tokens: list[str] = NULL_TOKENS) -> DataFrame:
@@ -163,6 +163,7 @@ def value_counts(df: DataFrame, column: str, labels: Sequence[str] | None = None
     if labels is not None:
         fixed = df.sparkSession.createDataFrame([(x,) for x in labels], "label string")
         counts = fixed.join(counts, "label", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    counts = cut_lineage(counts)  # read for the rows and for their total, while the source is read once
     total = counts.agg(F.sum("n").alias("t")).scalar()
     return counts.withColumn("share", F.try_divide(F.col("n") * 100.0, total))
 
@@ -182,9 +183,10 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def profile(df: DataFrame, counted: Sequence[str], key: Sequence[str] | None = None) -> DataFrame:
-    """One row: rows, duplicate rows, NULLs per column, distinct values of ``counted``.
+    """One row: rows, duplicate rows, NULLs per column, distinct values of ``counted`` (among the key columns); one scan.
 
-    Duplicates come from a grouped count (spread over all tasks), not from one distinct set in memory.
+    Duplicates come from a grouped count, and the distinct values from a second one over its groups, both spread over all
+    tasks; no distinct set is held in memory.
     """
     cols = list(key or df.columns)
     grouped = df.groupBy(*[quoted(c) for c in cols]).agg(
@@ -195,16 +197,9 @@ def profile(df: DataFrame, counted: Sequence[str], key: Sequence[str] | None = N
         F.sum("_n").alias("row_count"),
         F.sum(F.col("_n") - 1).alias("duplicate_rows"),
         *[F.sum(f"_null_{c}".replace(".", "")).alias(f"null_{c}".replace(".", "")) for c in df.columns],
+        *[F.count_distinct(quoted(c)).alias(f"distinct_{c}") for c in counted],
     )
-    return out.select(
-        F.lit(len(df.columns)).cast("long").alias("column_count"),
-        *out.columns,
-        *[
-            df.select(c).filter(F.col(c).isNotNull()).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
-            .alias(f"distinct_{c}")
-            for c in counted
-        ],
-    )
+    return out.select(F.lit(len(df.columns)).cast("long").alias("column_count"), *out.columns)
 
 
 def summary(df: DataFrame, station: str, time: str) -> DataFrame:
