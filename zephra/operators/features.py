@@ -98,6 +98,19 @@ def features_at(daily: DataFrame, refs: DataFrame) -> DataFrame:
     )
 
 
+def feature_rows(
+    daily: DataFrame, refs: DataFrame, clusters: DataFrame, labelled: DataFrame, lookup: DataFrame, wards: Sequence[str], seasons: Sequence[str]
+) -> DataFrame:
+    """The full feature row of a station at its reference date: rolling means, calendar, hotspot flag, ward and season by 0 or 1.
+
+    ``lookup`` has (station, ward_name); a station without a ward, or with one not listed, has zeros for all wards.
+    """
+    rows = features_at(daily, refs)
+    rows = hotspot_flag(rows, clusters, labelled).join(lookup.select("station", "ward_name").distinct(), "station", "left")
+    return one_hot(one_hot(rows, "ward_name", wards), "season", seasons).drop("season", "ward_name")
+
+
+
 def latest(daily: DataFrame) -> DataFrame:
     """(station, date, pm25) of the last day; combines map-side."""
     return daily.groupBy("station").agg(F.max("date").alias("date"), F.max_by("pm25", "date").alias("pm25"))

@@ -201,24 +201,52 @@ def last_30_days(spark, d):
     return features.tail_n(daily(spark, d)).withColumn("pm25", F.round("pm25", 6))
 
 
-@query(
-    "W12_features_at",
-    oracle(
-        f"""SELECT station, ref_date, round(CASE WHEN n >= 4 THEN r7 END, 6) AS roll7,
+_FEATURES_AT_SQL = f"""SELECT station, ref_date, round(CASE WHEN n >= 4 THEN r7 END, 6) AS roll7,
         round(CASE WHEN n >= 15 THEN r30 END, 6) AS roll30, (isodow(ref_date) - 1)::INT AS day_of_week,
         month(ref_date)::INT AS month, {season_sql('month(ref_date)')} AS season FROM (
         SELECT d.station, ref_date, count(*) FILTER (rn > 1) AS n, avg(pm25) FILTER (rn BETWEEN 2 AND 8) AS r7,
         avg(pm25) FILTER (rn BETWEEN 2 AND 31) AS r30 FROM (SELECT *, row_number() OVER (PARTITION BY station
-        ORDER BY date DESC) AS rn, max(date) OVER (PARTITION BY station) AS ref_date FROM daily) d GROUP BY 1, 2)""",
-        "daily",
-    ),
-)
+        ORDER BY date DESC) AS rn, max(date) OVER (PARTITION BY station) AS ref_date FROM daily) d GROUP BY 1, 2)"""
+
+
+@query("W12_features_at", oracle(_FEATURES_AT_SQL, "daily"))
 def features_at(spark, d):
     days = daily(spark, d)
     refs = days.groupBy("station").agg(F.max("date").alias("ref_date"))
     return features.features_at(days, refs).withColumns({c: F.round(c, 6) for c in ("roll7", "roll30")})
 
 
+_WARDS = [f"Ward_{k}" for k in range(25)]
+_HOT_SQL = """SELECT station FROM stations WHERE pos % 4 IN (2, 3) UNION SELECT 'st_' || (n_nationkey * 4 + 1) FROM nation
+    UNION SELECT 'site_' || (n_nationkey * 6) FROM nation"""
+_ONE_HOTS = ", ".join(
+    [f"coalesce((s.s_nationkey = {k})::INT, 0) AS ward_name_Ward_{k}" for k in range(25)] + [f"(season = '{x}')::INT AS season_{x}" for x in SEASONS]
+)
+
+
+@query(
+    "W12_C26_feature_rows",
+    oracle(
+        f"""SELECT f.station, ref_date, roll7, roll30, day_of_week, month, (f.station IN ({_HOT_SQL}))::INT AS is_hotspot_zone, {_ONE_HOTS}
+        FROM feats f LEFT JOIN stations s ON s.station = f.station""",
+        "daily", "stations", extra={"feats": _FEATURES_AT_SQL},
+    ),
+)
+def feature_rows(spark, d):
+    """All features of a prediction: those at the reference date, hotspot flag, ward and season one-hots."""
+    days = daily(spark, d)
+    refs = days.groupBy("station").agg(F.max("date").alias("ref_date"))
+    k = F.col("n_nationkey")
+    clusters = b.table(spark, d, "nation").select(
+        F.concat(F.lit("st_"), (k * 4 + 1).cast("string"), F.lit("; site_"), (k * 6).cast("string")).alias("stations")
+    )
+    stations = b.stations(spark, d)
+    labelled = stations.select("station", (F.col("pos") % 4 - 2).alias("cluster"))
+    lookup = stations.select("station", F.concat(F.lit("Ward_"), F.col("s_nationkey").cast("string")).alias("ward_name"))
+    rows = features.feature_rows(days, refs, clusters, labelled, lookup, _WARDS, SEASONS)
+    return rows.withColumns({c: F.round(c, 6) for c in ("roll7", "roll30")})
+
+
 @query(
     "W10_split_by_share",
     oracle(
