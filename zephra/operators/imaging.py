@@ -58,7 +58,7 @@ def classify_image(features: DataFrame) -> DataFrame:
     s, d = F.col("_s"), F.col("_d")
 
     def pct(c: Column) -> Column:
-        return F.format_string("%.1f%%", c * 100)
+        return F.format_string("%.1f%%", F.bround(c * 100, 1))
 
     def text(*parts) -> Column:
         return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])

@@ -50,14 +50,28 @@ def image_features(spark, d):
         WHEN 5 THEN 'Road Dust' ELSE 'Clean / Normal Air' END AS category, trunc(CASE rule
         WHEN 1 THEN greatest(5, least(25, (1 - blue_sky) * 20)) WHEN 2 THEN greatest(50, least(98, sp * 85 + dark_smoke * 30 + 10))
         WHEN 3 THEN greatest(40, least(92, sp * 80 + light_haze * 15 + 10)) WHEN 4 THEN greatest(35, least(88, dp * 85 + dust * 15))
-        WHEN 5 THEN greatest(25, least(75, dp * 75)) ELSE greatest(5, least(25, (sp + dp) * 20)) END)::INT AS severity_score
+        WHEN 5 THEN greatest(25, least(75, dp * 75)) ELSE greatest(5, least(25, (sp + dp) * 20)) END)::INT AS severity_score,
+        round(sp, 3) AS smoke_probability, round(dp, 3) AS dust_probability, round(CASE rule
+        WHEN 1 THEN greatest(0.85::DOUBLE, least(0.98::DOUBLE, 0.85::DOUBLE + 0.12::DOUBLE * blue_sky))
+        WHEN 2 THEN greatest(0.80::DOUBLE, least(0.96::DOUBLE, 0.82::DOUBLE + 0.15::DOUBLE * sp))
+        WHEN 3 THEN greatest(0.75::DOUBLE, least(0.94::DOUBLE, 0.78::DOUBLE + 0.16::DOUBLE * sp))
+        WHEN 4 THEN greatest(0.75::DOUBLE, least(0.93::DOUBLE, 0.76::DOUBLE + 0.18::DOUBLE * dp))
+        WHEN 5 THEN greatest(0.70::DOUBLE, least(0.90::DOUBLE, 0.72::DOUBLE + 0.20::DOUBLE * dp))
+        ELSE greatest(0.80::DOUBLE, least(0.95::DOUBLE, 0.80::DOUBLE + 0.10::DOUBLE * (1 - greatest(sp, dp)))) END, 3) AS confidence,
+        CASE rule WHEN 1 THEN 'Clear sky and high atmospheric visibility detected (Blue Sky Coverage: ' || printf('%.1f%%', blue_sky * 100) || ', Minimal Plumes).'
+        WHEN 2 THEN 'Detected dark carbonaceous plume and open waste burning absorption (Smoke Prob: ' || printf('%.1f%%', sp * 100) || ', Dark Plume: ' || printf('%.1f%%', dark_smoke * 100) || ').'
+        WHEN 3 THEN 'Detected airborne effluent haze and desaturated stack plume dispersion (Smoke Prob: ' || printf('%.1f%%', sp * 100) || ', Haze: ' || printf('%.1f%%', light_haze * 100) || ').'
+        WHEN 4 THEN 'Detected heavy tan/brownish particulate haze from unmitigated site dust (Dust Prob: ' || printf('%.1f%%', dp * 100) || ', Dust Tint: ' || printf('%.1f%%', dust * 100) || ').'
+        WHEN 5 THEN 'Detected road dust re-suspension and localized vehicular particulate haze (Dust Prob: ' || printf('%.1f%%', dp * 100) || ').'
+        ELSE 'No severe smoke or dust plumes detected across visual spectrum. Normal atmospheric clarity.' END AS explanation
         FROM ruled""",
         "image_pixels", extra=_IMAGE_SQL,
     ),
 )
 def classify_image(spark, d):
+    """All six outputs of the rules."""
     return imaging.classify_image(imaging.image_features(b.image_pixels(spark, d))).select(
-        "image_id", "category", "severity_score"
+        "image_id", "category", "severity_score", "smoke_probability", "dust_probability", "confidence", "explanation"
     )
 
 
