@@ -67,6 +67,23 @@ def test_a_large_cluster_is_one_row_and_one_prompt(spark):
     assert hot.count() == 5010
 
 
+def test_all_names_of_a_large_cluster(spark, monkeypatch):
+    """The hotspot queries list every station and ward, as their SQL does."""
+    from zephra.plans import hotspot_queries
+
+    rows = spark.range(2501).select(
+        F.col("id").alias("pos"), F.concat(F.lit("s"), F.col("id")).alias("station"), F.concat(F.lit("w"), F.col("id") % 1200).alias("ward_name"),
+        F.lit(0).alias("cluster"), F.lit(12.9).alias("latitude"), F.lit(77.6).alias("longitude"), F.lit(80.0).alias("severity"),
+        F.lit(1.0).alias("pm25"), F.lit(2.0).alias("pm10"),
+    )
+    monkeypatch.setattr(hotspot_queries, "_chosen", lambda spark, d: rows)
+    stations, wards = "; ".join(f"s{i}" for i in range(2501)), ", ".join(f"w{i}" for i in range(1200))
+    (got,) = hotspot_queries.cluster_summary(spark, "").collect()
+    assert (got["station_count"], got["ward_count"], got["wards"], got["stations"]) == (2501, 1200, wards, stations)
+    (area,) = hotspot_queries.priority_areas(spark, "").collect()
+    assert (area["wards"], area["stations"]) == (wards, stations)
+
+
 def test_quality_identities(spark):
     """Rows rebuilt from a published line give back its shares and mean gap."""
     frames = None
