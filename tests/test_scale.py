@@ -93,3 +93,39 @@ def test_checkpoint_folder_is_required_off_local(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         scale.checkpoint_root(Session())
+
+
+def test_tasks_are_bounded_by_rows(spark):
+    """Many narrow rows of one small file: tasks are sized by their number, few rows stay as they are."""
+    from zephra.scale import cut_lineage, dealt
+
+    rows = cut_lineage(spark.range(20_000).coalesce(1))
+    per = [r["n"] for r in dealt(rows, per_task=500).groupBy(F.spark_partition_id()).agg(F.count("id").alias("n")).collect()]
+    assert sum(per) == 20_000 and max(per) <= 600
+    assert dealt(rows, per_task=20_000) is rows
+
+
+def test_nearest_with_points_dealt_over_tasks(spark, monkeypatch):
+    """The nearest search keeps its answers when its points are more than a task takes."""
+    from zephra import scale
+    from zephra.operators import spatial
+
+    pts = spark.range(900).select((F.col("id") % 31 * 0.01).alias("lon"), (F.col("id") * 7 % 29 * 0.013).alias("lat"))
+    items = spark.range(150).select(
+        F.col("id").alias("pos"), F.concat(F.lit("s"), F.col("id")).alias("station"),
+        (F.col("id") * 17 % 101 * 0.003).alias("longitude"), (F.col("id") * 29 % 97 * 0.004).alias("latitude"),
+    )
+    want = {(r.lon, r.lat): (r.nearest_station, r.nearest_km) for r in spatial.nearest_station(pts, items).collect()}
+    sizes = []
+
+    def counted(df, rows=None):
+        out = scale.dealt(df, rows, per_task=50)
+        sizes.append(max(r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()))
+        return out
+
+    monkeypatch.setattr(spatial, "ROWS_PER_TASK", 50)
+    monkeypatch.setattr(spatial, "dealt", counted)
+    assert {(r.lon, r.lat): (r.nearest_station, r.nearest_km) for r in spatial.nearest_station(pts, items).collect()} == want
+    assert len(sizes) > 1 and max(sizes) <= 130
+    monkeypatch.setattr(spatial, "FEW", 0)
+    assert {(r.lon, r.lat): (r.nearest_station, r.nearest_km) for r in spatial.nearest_station(pts, items).collect()} == want

@@ -3,7 +3,9 @@
 Descent: items are counted in square cells, each depth splitting a cell into 4 x 4. A point first follows the one path of
 nearest cells down to some items, whose distance bounds the answer; then it goes down through all cells within that bound
 until a cell holds few items. Per depth that is one equi-join on the cell; the work per point grows with the depth, not
-with the number of items, whether they are spread out or crowded into one place.
+with the number of items, whether they are spread out or crowded into one place. Cells and items that are few, as they are at
+the upper depths, are broadcast, so that no cell gathers its points in one task; points are dealt over tasks by their number,
+as each meets 16 cells a depth.
 """
 
 from __future__ import annotations
@@ -16,10 +18,11 @@ from pyspark.sql import functions as F
 
 from zephra.functions.geo import deg_to_km, degrees_apart, haversine_km, segment_distance, utm_xy
 from zephra.operators.cover import Cover, polygon_cover, polygon_of
-from zephra.scale import cut_lineage
+from zephra.scale import ROWS_PER_TASK, cut_lineage, dealt, has_at_most
 
 CELL_ITEMS = 16
 MAX_DEPTH = 12
+FEW = 70_000  # cells or items that are broadcast; 16 ** 4 are fewer
 _SLACK = 1 + 1e-9
 _BOX = ["x_lo", "x_hi", "y_lo", "y_hi"]
 
@@ -143,6 +146,7 @@ def nearest(
     mid_x, mid_y = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
     x0, x1, y0, y1 = items.agg(F.min(mid_x), F.max(mid_x), F.min(mid_y), F.max(mid_y)).first()
     pts = points.select("px", "py").dropna().distinct()
+    small = has_at_most(items, FEW)
     if x0 is None:
         none = [F.lit(None).cast(items.schema[c].dataType).alias(c) for c in payload]
         return pts.filter(F.lit(False)).select("px", "py", F.lit(None).cast("double").alias("distance"), *none)
@@ -167,7 +171,15 @@ def nearest(
         """Items with their cell at a depth, and the cells with count and bounds."""
         at = items.withColumns({"ix": cell(mid_x, x0, d), "iy": cell(mid_y, y0, d)})
         bounds = [(F.min if c.endswith("lo") else F.max)(c).alias(c) for c in _BOX]
-        return at, at.groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("_n"), *bounds)
+        cells = at.groupBy("ix", "iy").agg(F.count(F.lit(1)).alias("_n"), *bounds)
+        if small:
+            return F.broadcast(at), F.broadcast(cells)
+        if 16**d > FEW:
+            return at, cells
+        # Cells that go on below are not looked into here; those of the last depth are, whatever they hold.
+        ends = F.broadcast(cells.filter(F.col("_n") <= CELL_ITEMS).select("ix", "iy"))
+        within = at if d == depth else at.join(ends, ["ix", "iy"])
+        return (F.broadcast(within) if 16 ** (d + 1) <= FEW and (d < depth or depth < MAX_DEPTH) else within), F.broadcast(cells)
 
     def below(df: DataFrame) -> DataFrame:
         """The 16 cells within each cell."""
@@ -185,7 +197,10 @@ def nearest(
         out = df.join(at, ["ix", "iy"])
         return out.filter((F.col("x1") != px) | (F.col("y1") != py)) if distinct_from_self else out
 
-    root = pts.withColumns({"ix": F.lit(0).cast("long"), "iy": F.lit(0).cast("long")})
+    pts = cut_lineage(pts)
+    n_points = pts.count()
+    crowded = depth > 2 or n_points > ROWS_PER_TASK
+    root = dealt(pts, n_points).withColumns({"ix": F.lit(0).cast("long"), "iy": F.lit(0).cast("long")})
 
     # First one path per point, always into the cell with the nearest corner: some item near by, hence a tight bound.
     frontier = root.withColumn("_best", F.lit(float("inf")))
@@ -196,9 +211,9 @@ def nearest(
             here = without_self(below(path).join(cells, ["ix", "iy"]), d)
             step = here.groupBy("px", "py").agg(F.min(F.struct(metric.lower(px, py).alias("lo"), "ix", "iy", "_n")).alias("_s"))
             step = step.select("px", "py", "_s.ix", "_s.iy", "_s._n")
-            if depth > 2:
+            if crowded:
                 # Two reads follow; without the write every depth would run again for each one below it.
-                step = cut_lineage(step)
+                step = dealt(cut_lineage(step))
             end = F.lit(d == depth) | (F.col("_n") <= CELL_ITEMS)
             near = items_of(step.filter(end).select("px", "py", "ix", "iy"), at)
             near = near.groupBy("px", "py").agg(F.min(metric.upper(px, py)).alias("_best"))
@@ -221,8 +236,8 @@ def nearest(
             wide = wide.withColumns(outline).filter(metric.lower(px, py) <= F.col("_best") * _SLACK + 1e-12).drop(*_BOX)
         here = without_self(wide.join(cells, ["ix", "iy"]), d)
         here = here.filter(metric.lower(px, py) <= F.col("_best") * _SLACK + 1e-12).select("px", "py", "_best", "ix", "iy", "_n")
-        if depth > 2:
-            here = cut_lineage(here)
+        if crowded:
+            here = dealt(cut_lineage(here))
         last = F.lit(d == depth) | (F.col("_n") <= CELL_ITEMS)
         leaf = items_of(here.filter(last).select("px", "py", "ix", "iy"), at)
         leaf = leaf.groupBy("px", "py").agg(F.min(F.struct(metric.exact(px, py).alias("distance"), "item_no", *rest)).alias("_f"))
