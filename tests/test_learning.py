@@ -43,3 +43,21 @@ def test_interval_is_the_spread_of_the_trees(spark):
         half = max(8.0, 1.96 * np.std(votes))
         assert abs(r["mean"] - np.mean(votes)) < 1e-9 and abs(r["half_width"] - half) < 1e-9
         assert abs(r["lower"] - max(10.0, np.mean(votes) - half)) < 1e-9 and abs(r["upper"] - np.mean(votes) - half) < 1e-9
+
+
+def test_forests_fit_on_rows_dealt_by_number(spark, monkeypatch):
+    """Both forests deal their training rows over tasks, however few files these lie in."""
+    from zephra import scale
+
+    parts = []
+
+    def few(df, rows=None):
+        out = scale.dealt(df, rows, per_task=100)
+        parts.append(out.select(F.spark_partition_id().alias("p")).distinct().count())
+        return out
+
+    monkeypatch.setattr(learning, "dealt", few)
+    learning.fit_band_model(_rows(spark).coalesce(1), ["roll7", "roll30"], trees=2, depth=2)
+    rows = learning.forecast_inputs(spark.range(600).coalesce(1).select((F.col("id") % 50).cast("double").alias("pm25")))
+    learning.fit_forecaster(rows.withColumn("next_pm25", F.col("pm25") * 2), trees=2, depth=2)
+    assert len(parts) == 2 and min(parts) >= 6

@@ -1,4 +1,8 @@
-"""Next-day band classifier and 24-hour regressor on MLlib."""
+"""Next-day band classifier and 24-hour regressor on MLlib.
+
+A forest holds each training row with one count per tree, many times its size in the file, so training rows are dealt over
+tasks by their number.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +18,7 @@ from pyspark.sql import functions as F
 
 from zephra.fixed_values import BANDS
 from zephra.functions.text import quoted
+from zephra.scale import dealt
 
 FORECAST_FEATURES = ["pm25", "pm10", "temp", "humidity", "wind", "traffic", "sat_no2"]
 # Stand-ins for signals a station does not have.
@@ -41,7 +46,8 @@ def fit_band_model(
         numTrees=trees, maxDepth=depth, seed=seed, weightCol="weight", featuresCol="features", labelCol="label",
         featureSubsetStrategy="sqrt", cacheNodeIds=False,
     )
-    assembled = _assembler(features).transform(labels.transform(with_class_weight(train)))
+    weighted = dealt(with_class_weight(train.select(*[quoted(f) for f in features], "target")))
+    assembled = _assembler(features).transform(labels.transform(weighted))
     rows = assembled.select("features", "label", "weight")
     return PipelineModel([_assembler(features), forest.fit(rows)])
 
@@ -98,7 +104,7 @@ def fit_forecaster(train: DataFrame, target: str = "next_pm25", trees: int = 40,
     forest = RandomForestRegressor(
         numTrees=trees, maxDepth=depth, seed=seed, featuresCol="features", labelCol=target, featureSubsetStrategy="all"
     )
-    rows = train.dropna(subset=["pm25", target])
+    rows = dealt(train.dropna(subset=["pm25", target]).select(*[quoted(f) for f in FORECAST_FEATURES], quoted(target)))
     return Pipeline(stages=[_assembler(FORECAST_FEATURES), forest]).fit(rows)
 
 

@@ -11,7 +11,7 @@ from zephra.operators import clustering, features, fusion, imaging, learning, me
 from zephra.plans import bindings as b
 from zephra.plans.bindings import oracle, rnd
 from zephra.plans.catalog import query
-from zephra.plans.feature_queries import YEARS, daily, training
+from zephra.plans.feature_queries import YEARS, daily
 from zephra.plans.hotspot_queries import _MULTI
 from zephra.plans.quality_queries import WARD_LOOKUP_SQL, ward_lookup
 from zephra.plans.scalar_queries import points, sensors
@@ -140,20 +140,20 @@ FEATURES = ["roll7", "roll30", "day_of_week", "month", "is_hotspot_zone", *[f"se
 _TREES, _DEPTH = 20, 8
 
 
-def _model_rows(spark, d):
-    rows = features.one_hot(features.folds(training(spark, d), YEARS), "season", SEASONS)
+def _model_rows(days):
+    rows = features.one_hot(features.folds(features.training_rows(days), YEARS), "season", SEASONS)
     return rows.withColumn("is_hotspot_zone", (F.crc32("station") % 4 == 0).cast("int"))
 
 
-def _band_model(spark, d):
-    rows = cut_lineage(_model_rows(spark, d))
+def _band_model(days):
+    rows = cut_lineage(_model_rows(days))
     return learning.fit_band_model(rows.filter("fold = 'train'"), FEATURES, _TREES, _DEPTH), rows
 
 
 @query("M3_M4_S11_band_model")
 def band_model(spark, d):
     """Fit, save, load, predict the test fold."""
-    model, rows = _band_model(spark, d)
+    model, rows = _band_model(daily(spark, d))
     path = f"{checkpoint_root(spark)}/model-{uuid.uuid4().hex}"
     learning.save_model(model, path)
     scored = learning.predict_band(learning.load_model(path), rows.filter("fold = 'test'"))
@@ -162,18 +162,18 @@ def band_model(spark, d):
 
 @query("M6_model_importances")
 def model_importances(spark, d):
-    return metrics.rank_importance(learning.importances(_band_model(spark, d)[0]))
+    return metrics.rank_importance(learning.importances(_band_model(daily(spark, d))[0]))
 
 
-def _forecaster(spark, d):
-    rows = cut_lineage(learning.forecast_inputs(features.add_target(daily(spark, d))))
+def _forecaster(days):
+    rows = cut_lineage(learning.forecast_inputs(features.add_target(days)))
     return learning.fit_forecaster(rows.filter(F.year("date") <= YEARS[0])), rows
 
 
 @query("M5_forecast_interval")
 def forecast_interval(spark, d):
     """Forecast with interval for the latest day of every station."""
-    model, rows = _forecaster(spark, d)
+    model, rows = _forecaster(daily(spark, d))
     last = learning.forecast_inputs(features.latest(rows.select("station", "date", "pm25")))
     return learning.predict_ci(model, last).select("station", "date", "pm25", "mean", "half_width", "lower", "upper")
 
@@ -181,12 +181,12 @@ def forecast_interval(spark, d):
 @query("D3_station_analysis")
 def station_analysis(spark, d):
     days = cut_lineage(daily(spark, d))
-    band, _ = _band_model(spark, d)
+    band, _ = _band_model(days)
     refs = days.groupBy("station").agg(F.max("date").alias("ref_date"))
     at = features.one_hot(features.features_at(days, refs), "season", SEASONS)
     at = at.withColumn("is_hotspot_zone", (F.crc32("station") % 4 == 0).cast("int"))
     predicted = learning.predict_band(band, at)
-    forecaster, _ = _forecaster(spark, d)
+    forecaster, _ = _forecaster(days)
     forecast = learning.predict_ci(forecaster, learning.forecast_inputs(features.latest(days)))
     stations = quality.join_ward(b.stations(spark, d).select("station"), ward_lookup(spark, d))
     return serving.station_analysis(stations, days, predicted, forecast)
