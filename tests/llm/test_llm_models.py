@@ -193,6 +193,33 @@ def test_field_in_plain_words_and_long_lines(secret_field):
         assert [text[a:b] for a, b in secret_scan.field_spans(text, *model)] == want
 
 
+def test_field_looks_at_every_token_of_every_line():
+    """A secret without a digit and of fewer than 20 signs, far from any number; lines of many lengths at once."""
+    rng = np.random.default_rng(5)
+    w, t = rng.normal(size=(secret_scan.DIMS, 3)), rng.normal(size=(3, 3))
+    words = ["river", "stone:", "=", "xK9dQ2mZ7pL4wT8v", "hQrTyUpLkJhGfDs", "'", "a-b/c", "7", "\u00e9t\u00e9", "#", "token"]
+    texts = ["\n".join(" ".join(rng.choice(words, size=rng.integers(0, 90))) for _ in range(rng.integers(1, 9))) for _ in range(40)]
+    texts += ["", "\n\n", "x", "word " * 3000 + "hQrTyUpLkJhGfDs"]
+    got = secret_scan.spans_of(texts, w, t)
+    for text, spans in zip(texts, got, strict=True):
+        want, at = [], 0
+        for line in text.split("\n"):
+            places, x = secret_scan.chain(text, at, at + len(line), secret_scan._file(text))
+            at += len(line) + 1
+            if not places:
+                continue
+            e, move = w[x].sum(axis=1), t + secret_scan._ALLOWED
+            tags = secret_scan.viterbi(e, move)
+            want += secret_scan.likely_spans(e, move, tags, places)
+        assert spans == want
+    assert sum(map(len, got)) > 50
+    plain = "stones by the river and hQrTyUpLkJhGfDs there"
+    spans, x = secret_scan.chain(plain, 0, len(plain), "00")
+    y = [secret_scan.BEGIN if plain[a:b].startswith("hQr") else secret_scan.OUT for a, b in spans]
+    w, t = secret_scan.fit_field([(x, y)] * 4, 60)
+    assert [plain[a:b] for a, b in secret_scan.field_spans(plain, w, t)] == ["hQrTyUpLkJhGfDs"]
+
+
 def test_tokens_of_unknown_tag_are_not_taught_as_outside():
     text = "plain words and xK9dQ2mZ7pL4wT8v here"
     spans, x = secret_scan.chain(text, 0, len(text), "")

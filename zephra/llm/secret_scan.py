@@ -1,15 +1,16 @@
 """Secret scan: fixed forms plus a linear-chain conditional random field.
 
 The field tags tokens (runs of ``[A-Za-z0-9+/_-]``, or single other signs) as begin, inside or outside of a secret, from their
-shape, the words and signs around them and features of the file. Its chains are the pieces of lines around tokens that could
-be one (a digit among 8 signs, or 20 signs): all tokens up to ``AROUND`` characters on either side, ordinary words included.
-Viterbi finds the best tags; a tagged span of ``LEAST`` characters is reported as kind ``field`` if its posterior probability,
+shape, the words and signs around them and features of the file. Its chains are the lines of the text, each with all its
+tokens: no token of a text is left out. Texts are tagged by groups of ``GROUP`` characters, all lines of a group at once. Viterbi finds the best tags; a tagged span of ``LEAST`` characters is reported as kind ``field`` if its posterior probability,
 from the forward and backward sums of its chain, is at least ``POSTERIOR``. A ``field`` span marks the secret itself, so it may
 lie inside a longer fixed form or equal one. Spans of the fixed forms always stay.
 
 The field is fitted in one task to at most ``MAX_FITTED`` documents (least hash of doc_id, of those with a digit), each as it is
 and in ``COPIES`` altered forms: there the announcing word of a secret is often taken away and its value often drawn anew
-from another alphabet, so that shape and context must tell it. Tokens outside the fixed forms that look like secrets are of
+from another alphabet, so that shape and context must tell it. Of a document it learns from the pieces of lines around tokens
+that could be a secret (a digit among 8 signs, or 20 signs; ``AROUND`` characters on either side) and from ``PLAIN`` other
+stretches of ``MAX_CHAIN`` tokens at most. Tokens outside the fixed forms that look like secrets are of
 unknown tag: the likelihood sums over their tags instead of teaching them as outside.
 
 Positions are code points, end exclusive. Defined results: NULL equals an empty text and has no span. Without any fixed form
@@ -42,6 +43,8 @@ STEPS = 120
 RATE = 0.1
 RIDGE = 2e-4
 MAX_CHAIN = 64  # longer chains are cut for fitting only
+PLAIN = 1
+GROUP = 1 << 20
 OUT, BEGIN, INSIDE = 0, 1, 2
 KINDS = ["assign", "access", "hex", "field"]
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -191,13 +194,30 @@ def _tags(text: str, spans: list[tuple[int, int]], secrets: list[tuple[int, int]
     return tags
 
 
+def _plain(text: str, rnd: random.Random) -> list[tuple[list[tuple[int, int]], np.ndarray]]:
+    """Chains of stretches of lines that ``pieces`` leaves out."""
+    ends = [(0, 0), *pieces(text), (len(text), len(text))]
+    gaps = [(a, b) for (_, a), (b, _) in zip(ends, ends[1:]) if b - a >= LEAST]
+    out = []
+    for a, b in rnd.sample(gaps, min(PLAIN, len(gaps))):
+        at = rnd.randrange(a, b)
+        lo = max(a, text.rfind("\n", a, at) + 1)
+        if at - lo > 8 * MAX_CHAIN:
+            lo = text.rfind(" ", lo, at) + 1 or at
+        hi = text.find("\n", at, b)
+        spans, x = chain(text, lo, min(b if hi < 0 else hi, lo + 16 * MAX_CHAIN), _file(text))
+        if spans:
+            out.append((spans[:MAX_CHAIN], x[:MAX_CHAIN]))
+    return out
+
+
 def examples(text: str, copies: int = COPIES) -> list[tuple[np.ndarray, list[int]]]:
     """(features, tags) of the chains of a text and of its altered copies."""
     rnd = random.Random(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")))
     forms = [(text, values(text))]
     if forms[0][1]:
         forms += [altered(text, rnd) for _ in range(copies)]
-    out = []
+    out = [(x, _tags(text, spans, forms[0][1])) for spans, x in _plain(text, rnd)]
     for form, secrets in forms:
         file = _file(form)
         for lo, hi in pieces(form):
@@ -293,30 +313,163 @@ def viterbi(e: np.ndarray, move: np.ndarray) -> list[int]:
     return tags[::-1]
 
 
-def field_spans(text: str, w: np.ndarray, t: np.ndarray) -> list[tuple[int, int]]:
-    """Spans tagged as secrets with enough probability."""
-    found, move, file = [], t + _ALLOWED, ""
-    for lo, hi in pieces(text):
-        file = file or _file(text)
-        spans, x = chain(text, lo, hi, file)
-        e = w[x].sum(axis=1)
-        tags = viterbi(e, move)
-        if BEGIN not in tags:
+def likely_spans(e: np.ndarray, move: np.ndarray, tags: list[int], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Tagged spans of a chain with enough characters and probability."""
+    found = []
+    a, b, z = (v[0] for v in sums(e[None], move))
+    for i, tag in enumerate(tags):
+        if tag != BEGIN:
             continue
-        a, b, z = (v[0] for v in sums(e[None], move))
-        for i, tag in enumerate(tags):
-            if tag != BEGIN:
-                continue
-            end, score, last = i + 1, a[i, BEGIN], BEGIN
-            while end < len(tags) and tags[end] == INSIDE:
-                score, last, end = score + move[last, INSIDE] + e[end, INSIDE], INSIDE, end + 1
-            rest = [move[last, k] + e[end, k] + b[end, k] for k in (OUT, BEGIN)] if end < len(tags) else [move[last, OUT]]
-            score += float(np.logaddexp.reduce(rest))
-            if spans[end - 1][1] - spans[i][0] >= LEAST and score - z >= np.log(POSTERIOR):
-                found.append((spans[i][0], spans[end - 1][1]))
+        end, score, last = i + 1, a[i, BEGIN], BEGIN
+        while end < len(tags) and tags[end] == INSIDE:
+            score, last, end = score + move[last, INSIDE] + e[end, INSIDE], INSIDE, end + 1
+        rest = [move[last, k] + e[end, k] + b[end, k] for k in (OUT, BEGIN)] if end < len(tags) else [move[last, OUT]]
+        score += float(np.logaddexp.reduce(rest))
+        if spans[end - 1][1] - spans[i][0] >= LEAST and score - z >= np.log(POSTERIOR):
+            found.append((spans[i][0], spans[end - 1][1]))
     return found
 
 
+class _Numbers(dict):
+    """Numbers keys as they come."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
+def _weights(names: Iterator[list[str]] | list[list[str]], w: np.ndarray) -> np.ndarray:
+    """Sums of the weights of each list of features."""
+    return np.array([w[[_number(x) for x in row]].sum(axis=0) for row in names]).reshape(-1, 3)
+
+
+def _emissions(words: list[str], word: np.ndarray, line: np.ndarray, joined: np.ndarray, files: list[str], file: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Tokens x tags: what ``w[chain(...)].sum`` gives, from one sum for each different word and each different surrounding.
+
+    ``word``, ``line`` and ``file`` are the numbers of each token's word, line and kind of file.
+    """
+    shape = _weights([_shape(x) for x in words], w)
+    known = _Numbers({"": 0})
+    sign = np.array([known[_sign(x)] for x in words])
+    cue = np.array([bool(_CUES.search(x)) for x in words])[word]
+    long = np.array([len(x) >= 12 for x in words])[word]
+    signs = list(known)
+    # Signs before and after within the line, number 0 beyond its ends.
+    at, n = sign[word], len(word)
+    around = {}
+    cued = np.zeros(n, dtype=bool)
+    for d in (1, 2, 3):
+        same = line[d:] == line[:-d]
+        cued[d:] |= same & cue[:-d]
+        if d < 3:
+            around[-d], around[d] = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+            around[-d][d:] = np.where(same, at[:-d], 0)
+            around[d][:-d] = np.where(same, at[d:], 0)
+    single = _Numbers({"": 0})
+    one = np.array([single[x if len(x) == 1 else ""] for x in words])[word]
+    singles = list(single)
+
+    def summed(parts: list[tuple[np.ndarray, int]], names) -> np.ndarray:
+        """Rows of the weights of ``names`` of the values of ``parts``, each below its limit."""
+        key = np.zeros(n, dtype=np.int64)
+        for values, limit in parts:
+            key = key * limit + values
+        different, back = np.unique(key, return_inverse=True)
+        rows = []
+        for k in different.tolist():
+            values = []
+            for _, limit in reversed(parts):
+                k, v = divmod(k, limit)
+                values.append(v)
+            rows.append(names(*reversed(values)))
+        return _weights(rows, w)[back]
+
+    m = len(signs)
+    yes = [False, True]
+    e = shape[word]
+    e += summed([(around[-2], m), (around[-1], m), (long, 2)], lambda q, p, g: [f"p{signs[p]}{yes[g]}", f"pp{signs[q]}{signs[p]}{yes[g]}"])
+    e += summed([(around[1], m), (around[2], m), (long, 2)], lambda x, y, g: [f"x{signs[x]}{yes[g]}", f"xx{signs[x]}{signs[y]}{yes[g]}"])
+    e += summed([(around[-1], m), (around[1], m), (long, 2)], lambda p, x, g: [f"px{signs[p]}{signs[x]}{yes[g]}"])
+    e += summed([(cued, 2), (long, 2)], lambda c, g: [f"c{yes[c]}", f"cl{yes[c]}{yes[g]}"])
+    e += summed([(joined, 2), (one, len(singles))], lambda j, o: [f"j{yes[j]}{singles[o]}"])
+    return e + summed([(file, len(files)), (long, 2)], lambda f, g: [f"f{files[f]}{yes[g]}"])
+
+
+def _best_tags(e: np.ndarray, first: np.ndarray, size: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """``viterbi`` of many chains at once; chain k has the tokens from first[k], size[k] of them."""
+    order = np.argsort(-size, kind="stable")
+    first, size = first[order], size[order]
+    tags = np.empty(len(e), dtype=np.int8)
+    back = np.empty((len(e), 3), dtype=np.int8)
+    live = np.searchsorted(-size, -np.arange(int(size[0])), side="left")  # chains of more than i tokens
+    best = e[first] + move[OUT]
+    for i in range(1, int(size[0])):
+        k = int(live[i])
+        through = best[:k, :, None] + move[None]
+        at = first[:k] + i
+        back[at] = through.argmax(axis=1)
+        best[:k] = through.max(axis=1) + e[at]
+    tag = (best + move[:, OUT]).argmax(axis=1)
+    for i in range(int(size[0]) - 1, -1, -1):
+        k = int(live[i])
+        at = first[:k] + i
+        tags[at] = tag[:k]
+        if i:
+            tag[:k] = back[at, tag[:k]]
+    return tags
+
+
+def _group_spans(texts: list[str], w: np.ndarray, t: np.ndarray) -> list[list[tuple[int, int]]]:
+    out: list[list[tuple[int, int]]] = [[] for _ in texts]
+    word_of, file_of = _Numbers(), _Numbers()
+    starts, ends, words, lines, texts_of, files, n_lines = [], [], [], [], [], [], 0
+    for k, text in enumerate(texts):
+        spans = [m.span() for m in _TOKEN.finditer(text)]
+        if not spans:
+            continue
+        places = np.array(spans, dtype=np.int64)
+        breaks = np.cumsum([len(x) + 1 for x in text.split("\n")])
+        starts.append(places[:, 0])
+        ends.append(places[:, 1])
+        words.append(np.fromiter(map(word_of.__getitem__, _TOKEN.findall(text)), dtype=np.int64, count=len(spans)))
+        lines.append(n_lines + np.searchsorted(breaks, places[:, 0], side="right"))
+        n_lines += len(breaks)
+        texts_of.append(np.full(len(spans), k))
+        files.append(np.full(len(spans), file_of[_file(text)]))
+    if not starts:
+        return out
+    start, end, word, line, owner, file = map(np.concatenate, (starts, ends, words, lines, texts_of, files))
+    joined = np.zeros(len(start), dtype=bool)
+    joined[1:] = (line[1:] == line[:-1]) & (end[:-1] == start[1:])
+    move = t + _ALLOWED
+    e = _emissions(list(word_of), word, line, joined, list(file_of), file, w)
+    first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+    size = np.diff(np.r_[first, len(line)])
+    tags = _best_tags(e, first, size, move)
+    for c in np.flatnonzero(np.add.reduceat(tags == BEGIN, first)).tolist():
+        part = slice(int(first[c]), int(first[c] + size[c]))
+        places = list(zip(start[part].tolist(), end[part].tolist(), strict=True))
+        out[int(owner[part.start])] += likely_spans(e[part], move, tags[part].tolist(), places)
+    return out
+
+
+def spans_of(texts: list[str], w: np.ndarray, t: np.ndarray) -> list[list[tuple[int, int]]]:
+    """Per text the spans tagged as secrets with enough probability; every token of every line takes part."""
+    out, group, size = [], [], 0
+    for text in texts:
+        group.append(text)
+        size += len(text)
+        if size >= GROUP:
+            out += _group_spans(group, w, t)
+            group, size = [], 0
+    return out + _group_spans(group, w, t)
+
+
+def field_spans(text: str, w: np.ndarray, t: np.ndarray) -> list[tuple[int, int]]:
+    """Spans tagged as secrets with enough probability."""
+    return spans_of([text], w, t)[0]
+
+
 def fit(docs: DataFrame, max_fitted: int = MAX_FITTED) -> tuple[np.ndarray, np.ndarray] | None:
     """The field from a bounded number of documents; None without a fixed form among them."""
     some = docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9]"))
@@ -354,10 +507,11 @@ def scan(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None) -> DataFr
     def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                text = text or ""
+            texts = [text or "" for text in batch["text"]]
+            found = [[] for _ in texts] if model is None else spans_of(texts, *model)
+            for doc_id, text, spans in zip(batch["doc_id"], texts, found, strict=True):
                 base = base_spans(text)
-                added = [] if model is None else [("field", a, b) for a, b in field_spans(text, *model)]
+                added = [("field", a, b) for a, b in spans]
                 whole = sorted([*base, *added], key=lambda s: (s[1], KINDS.index(s[0])))
                 counts = [sum(k == kind for k, _, _ in base) for kind in KINDS[:3]]
                 rows.append((doc_id, *counts, hashlib.sha256(listed(base).encode()).hexdigest(), listed(whole)))
