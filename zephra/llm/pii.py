@@ -5,12 +5,12 @@ check, and narrower or looser forms of them. Base spans that pass their checks a
 added that overlap no base span, are accepted by boosted trees, and pass the check of their kind where it has one.
 
 The trees score a candidate by its format (length, digits, signs, first digits) and its context (the words before it, the signs
-on either side, digits near by). They are not shown the checks. They are fitted on candidates of at most ``MAX_FITTED``
-documents, by a hash: positive are base spans that pass, as they stand, in a looser form, and after a word that announces
-them; negative are candidates that fail, and base spans with other digits in a looser form, most of them after a word that
-announces another number. On candidates of other documents (as many) an isotonic fit per kind turns scores into probabilities;
-the threshold of a kind is the least score of probability ``ACCEPTED``. The trees become plain column expressions, so a
-document is scored within its row: no candidate of a document is shuffled.
+on either side, digits near by). They are not shown the checks. All documents take part in the fit, halved by a hash of
+their text, copies of a text counted once. On the candidates of one half the trees are fitted: positive are base spans that
+pass, as they stand, in a looser form, and after a word that announces them; negative are candidates that fail, and base spans
+with other digits in a looser form, most of them after a word that announces another number. On the candidates of the other
+half an isotonic fit per kind turns scores into probabilities; the threshold of a kind is the least score of probability
+``ACCEPTED``. The trees become plain column expressions, so a document is scored within its row.
 
 Positions are code points, end exclusive. They and the overlaps come from running sums and maxima, taken in blocks of ``BLOCK``
 matches, so a text with very many matches takes time in proportion to them.
@@ -30,9 +30,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zephra.llm.catalog import query, table
+from zephra.scale import cut_lineage
 
 KINDS = ["email", "ip", "card", "phone"]
-MAX_FITTED = 4000
 ACCEPTED = 0.9
 TREES, DEPTH = 10, 3
 BLOCK = 128
@@ -266,37 +266,39 @@ def isotonic(marks: list[tuple[float, float, float]]) -> list[tuple[float, float
     return [(m, good / n) for m, n, good in steps]
 
 
-def fit(docs: DataFrame, max_fitted: int = MAX_FITTED) -> Model:
-    """Trees from candidates of ``max_fitted`` documents with a digit or an @, thresholds from as many others."""
+def example_rows(docs: DataFrame) -> DataFrame:
+    """(part, kind, label, f0.., weight): the examples of all documents, equal ones counted in one row; copies of a text count once."""
     some = docs.select("text", F.xxhash64("text").alias("_o")).filter(F.col("text").rlike("[0-9@]"))
-    ids = some.select("_o").distinct().orderBy("_o").limit(2 * max_fitted)
-    rows = with_candidates(some.join(F.broadcast(ids), "_o").dropDuplicates(["_o"]))
     base = F.flatten(F.array(*[F.col(f"_c{i}") for i, g in enumerate(GENERATORS) if g[1]]))
-    rows = rows.select(F.pmod(F.xxhash64("_o"), F.lit(2)).alias("part"), F.explode(base).alias("c"))
+    # Only the candidates of a text are dealt by its hash, not the text.
+    found = with_candidates(some).select("_o", base.alias("_b")).dropDuplicates(["_o"])
+    rows = found.select(F.pmod(F.xxhash64("_o"), F.lit(2)).alias("part"), F.explode("_b").alias("c"))
     rows = training_rows(rows.select("part", "c.kind", "c.s", "c.before", "c.after", "c.passed"))
     names = [f"f{j}" for j in range(FEATURES)]
     one = F.struct("kind", "s", "before", "after")
     rows = rows.withColumn("f", _scores(one)).select("part", "kind", "label", *[F.col("f")[j].alias(n) for j, n in enumerate(names)])
-    # Equal candidates are one weighted row, so the most common forms do not fill the table.
-    rows = rows.groupBy("part", "kind", "label", *names).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return rows.groupBy("part", "kind", "label", *names).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+
+
+def fit(docs: DataFrame) -> Model:
+    """Trees from the candidates of one half of all documents with a digit or an @, by a hash, thresholds from the other."""
+    names = [f"f{j}" for j in range(FEATURES)]
+    # Written, as the forest and the thresholds read it many times.
+    rows = cut_lineage(example_rows(docs))
     rows = VectorAssembler(inputCols=names, outputCol="features").transform(rows).select("part", "kind", "label", "features", "weight", F.array(*names).alias("f"))
-    rows = rows.persist()
-    try:
-        learnt = rows.filter("part = 0")
-        if learnt.select("label").distinct().count() < 2:
-            return Model()
-        fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, weightCol="weight", seed=7, stepSize=0.3).fit(learnt)
-        model = Model([t._call_java("rootNode") for t in fitted.trees], list(fitted.treeWeights))
-        marks = rows.filter("part = 1").withColumn("m", F.round(model.margin(F.col("f")), 3))
-        marks = marks.groupBy("kind", "m").agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("label")).alias("good")).collect()
-        for kind in sorted({r.kind for r in marks}):
-            steps = isotonic([(r.m, r.n, r.good) for r in marks if r.kind == kind])
-            accepted = [m for m, p in steps if p >= ACCEPTED]
-            if accepted:
-                model.thresholds[kind] = min(accepted) - 5e-4
-        return model
-    finally:
-        rows.unpersist()
+    learnt = rows.filter("part = 0")
+    if learnt.select("label").distinct().count() < 2:
+        return Model()
+    fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, weightCol="weight", seed=7, stepSize=0.3).fit(learnt)
+    model = Model([t._call_java("rootNode") for t in fitted.trees], list(fitted.treeWeights))
+    marks = rows.filter("part = 1").withColumn("m", F.round(model.margin(F.col("f")), 3))
+    marks = marks.groupBy("kind", "m").agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("label")).alias("good")).collect()
+    for kind in sorted({r.kind for r in marks}):
+        steps = isotonic([(r.m, r.n, r.good) for r in marks if r.kind == kind])
+        accepted = [m for m, p in steps if p >= ACCEPTED]
+        if accepted:
+            model.thresholds[kind] = min(accepted) - 5e-4
+    return model
 
 
 def _once(spans: Column) -> Column:
