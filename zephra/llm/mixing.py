@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zephra.llm.catalog import query, table
-from zephra.scale import broadcast_if_small, cut_lineage
+from zephra.scale import broadcast_if_small, cut_lineage, has_at_most
 
 MARGINS = ["_source", "_lang", "_topic"]
 ROUNDS = 8
@@ -47,24 +47,27 @@ def flattened_targets(cells: DataFrame, power: float = FLATTEN) -> dict[str, Dat
 def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
     """``cells`` (margins, _t) with ``_w``: the raked share of a cell over its share of the tokens.
 
-    Only the factor tables change, one row per value of a margin; each is written, so that plans stay short.
+    Only the factor tables change, one row per value of a margin; each is written, so that plans stay short. Their sizes are
+    those of the targets, looked up once: a job more for each of the 24 steps would stay in the driver's memory.
     """
     base = cut_lineage(cells.withColumn("_f", F.col("_t") / cells.agg(F.sum("_t")).scalar()))
     goal = {m: cut_lineage(targets[m]) for m in MARGINS}
+    few = {m: has_at_most(goal[m], 100_000) for m in MARGINS}
     factors = {m: goal[m].select(m, F.lit(1.0).alias(f"_x{m}")) for m in MARGINS}
 
     def scaled(skip: str | None) -> DataFrame:
         out, share = base, F.col("_f")
         for m in MARGINS:
             if m != skip:
-                out = out.join(broadcast_if_small(factors[m], 100_000), m)
+                out = out.join(F.broadcast(factors[m]) if few[m] else factors[m], m)
                 share = share * F.col(f"_x{m}")
         return out.withColumn("_g", share)
 
     for _ in range(rounds):
         for m in MARGINS:
             now = scaled(m).groupBy(m).agg(F.sum("_g").alias("_g"))
-            factors[m] = cut_lineage(goal[m].join(now, m).select(m, (F.col("_target") / F.col("_g")).alias(f"_x{m}")))
+            made = goal[m].join(now, m).select(m, (F.col("_target") / F.col("_g")).alias(f"_x{m}"))
+            factors[m] = cut_lineage(made.coalesce(1) if few[m] else made)
     return scaled(None).select(*MARGINS, "_t", (F.col("_g") / F.col("_f")).alias("_w"))
 
 
