@@ -44,7 +44,7 @@ RATE = 0.1
 RIDGE = 2e-4
 MAX_CHAIN = 64  # longer chains are cut for fitting only
 PLAIN = 1
-GROUP = 1 << 20
+GROUP = 1 << 21
 OUT, BEGIN, INSIDE = 0, 1, 2
 KINDS = ["assign", "access", "hex", "field"]
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -103,6 +103,7 @@ def _number(name: str) -> int:
 
 
 N_FEATURES = 17
+_LOOK = {ord(c): k for k, letters in (("0", "0123456789"), ("a", "abcdefghijklmnopqrstuvwxyz"), ("A", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")) for c in letters}
 
 
 def _shape(w: str) -> list[str]:
@@ -348,7 +349,10 @@ def _emissions(words: list[str], word: np.ndarray, line: np.ndarray, joined: np.
 
     ``word``, ``line`` and ``file`` are the numbers of each token's word, line and kind of file.
     """
-    shape = _weights([_shape(x) for x in words], w)
+    # The features of a word by itself follow from its kinds of letters, how many differ and how it begins.
+    looks, one_of = _Numbers(), {}
+    look = np.array([looks[one_of.setdefault((x.translate(_LOOK), len(set(x)), x.isalnum(), _ISSUED.match(x) is None), x)] for x in words])
+    shape = _weights([_shape(x) for x in looks], w)[look]
     known = _Numbers({"": 0})
     sign = np.array([known[_sign(x)] for x in words])
     cue = np.array([bool(_CUES.search(x)) for x in words])[word]
