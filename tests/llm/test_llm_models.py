@@ -220,6 +220,87 @@ def test_field_looks_at_every_token_of_every_line():
     assert [plain[a:b] for a, b in secret_scan.field_spans(plain, w, t)] == ["hQrTyUpLkJhGfDs"]
 
 
+def test_field_on_odd_tokens_and_lines_proven_outside():
+    """All spans of the one-line code, whatever the characters and however few lines a bound leaves to Viterbi."""
+    rng = np.random.default_rng(8)
+    parts = [
+        "password", "AKIA1234", "ghp_ab", "gh", "sk-", "eyJhb", "apiKEY", "Key", "\n", "\n", " ", " ", "=", ": ", "'", "Q9x", "\u00e9", "-", "--", "12", "\u00bd", "\u00b2",
+        "\u6f22", "\U0001f600", "\u017f", "\u212a", "\u3000", "\x85", "\x1c", "\x00", "\r", "wQrTyUp9LkJhGfDsAzXc4",
+    ]
+    texts = ["".join(rng.choice(parts, size=rng.integers(0, 70))) for _ in range(300)] + ["", "\n"]
+    w, t = rng.normal(size=(secret_scan.DIMS, 3)), rng.normal(size=(3, 3))
+    for outside in (0.0, 0.1, 0.1):
+        w[:, secret_scan.OUT] += outside
+        found = 0
+        for text, spans in zip(texts, secret_scan.spans_of(texts, w, t), strict=True):
+            want, at = [], 0
+            for line in text.split("\n"):
+                places, x = secret_scan.chain(text, at, at + len(line), secret_scan._file(text))
+                at += len(line) + 1
+                if places:
+                    e, move = w[x].sum(axis=1), t + secret_scan._ALLOWED
+                    want += secret_scan.likely_spans(e, move, secret_scan.viterbi(e, move), places)
+            assert spans == want
+            found += len(spans)
+        assert found
+
+
+def test_scan_takes_few_steps_a_token():
+    """No call of Python for each token: what a token looks like is taken from arrays of all characters of a group."""
+    import sys
+
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), size=rng.integers(2, 12))) for _ in range(20_000)]
+    text = "\n".join(" ".join(words[i : i + 50]) for i in range(0, 20_000, 50))
+    w, t = rng.normal(size=(secret_scan.DIMS, 3)) + np.array([2.0, 0.0, 0.0]), np.zeros((3, 3))
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        secret_scan.spans_of([text], w, t)
+    finally:
+        sys.setprofile(None)
+    assert calls < len(words) // 2
+
+
+def test_fit_sums_the_weights_of_equal_tokens_once(monkeypatch):
+    """Chains of uneven lengths, against the sums of each chain by itself."""
+    rng = np.random.default_rng(10)
+    looks = rng.integers(0, secret_scan.DIMS, size=(12, secret_scan.N_FEATURES))
+    data = []
+    for n in [1, 1, 2, 5, 30, 64, 64, *rng.integers(1, 40, size=40)]:
+        y = rng.choice([-1, 0, 0, 0, 1], size=n)
+        y[1:][(y[:-1] == 1) & (y[1:] == 0)] = secret_scan.INSIDE
+        data.append((looks[rng.integers(0, 12, size=n)], y.tolist()))
+    w, t = np.zeros((secret_scan.DIMS, 3)), np.zeros((3, 3))
+    moments = np.zeros((2, secret_scan.DIMS + 3, 3))
+    for step in range(1, 6):
+        move, gw, gt = t + secret_scan._ALLOWED, -secret_scan.RIDGE * w, -secret_scan.RIDGE * t
+        for x, y in data:
+            known = np.where((np.array(y)[:, None] < 0) | (np.array(y)[:, None] == np.arange(3)), 0.0, -1e4)
+            for sign, e in ((1, w[x].sum(axis=1) + known), (-1, w[x].sum(axis=1))):
+                a, b, z = (v[0] for v in secret_scan.sums(e[None], move))
+                p = np.exp(a + b - z)
+                np.add.at(gw, x, sign * p[:, None, :] / len(data))
+                moves = np.exp(a[:-1, :, None] + move + (e + b)[1:, None, :] - z).sum(axis=0)
+                moves[secret_scan.OUT] += p[0]
+                moves[:, secret_scan.OUT] += p[-1]
+                gt += sign * moves / len(data)
+        g = np.concatenate([gw, gt])
+        moments = np.stack([0.9 * moments[0] + 0.1 * g, 0.999 * moments[1] + 0.001 * g * g])
+        by = secret_scan.RATE * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.999**step)) + 1e-8)
+        w, t = w + by[:-3], t + by[-3:]
+    counted, bincount = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, **k: (counted.append(len(x)), bincount(x, **k))[1])
+    got = secret_scan.fit_field(data, 5)
+    assert got[0] == pytest.approx(w, abs=1e-6) and got[1] == pytest.approx(t, abs=1e-6)
+    assert max(counted) <= sum(len(y) for _, y in data)
+
+
 def test_tokens_of_unknown_tag_are_not_taught_as_outside():
     text = "plain words and xK9dQ2mZ7pL4wT8v here"
     spans, x = secret_scan.chain(text, 0, len(text), "")

@@ -2,7 +2,8 @@
 
 The field tags tokens (runs of ``[A-Za-z0-9+/_-]``, or single other signs) as begin, inside or outside of a secret, from their
 shape, the words and signs around them and features of the file. Its chains are the lines of the text, each with all its
-tokens: no token of a text is left out. Texts are tagged by groups of ``GROUP`` characters, all lines of a group at once. Viterbi finds the best tags; a tagged span of ``LEAST`` characters is reported as kind ``field`` if its posterior probability,
+tokens: no token of a text is left out. Texts are tagged by groups of ``GROUP`` characters, all lines of a group at once. Viterbi finds the
+best tags, without its steps where a bound proves them to be outside throughout; a tagged span of ``LEAST`` characters is reported as kind ``field`` if its posterior probability,
 from the forward and backward sums of its chain, is at least ``POSTERIOR``. A ``field`` span marks the secret itself, so it may
 lie inside a longer fixed form or equal one. Spans of the fixed forms always stay.
 
@@ -20,10 +21,12 @@ results, an empty table gives no rows, and columns other than doc_id and text do
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import random
 import re
-from collections.abc import Iterator
+import string
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -45,16 +48,33 @@ RIDGE = 2e-4
 MAX_CHAIN = 64  # longer chains are cut for fitting only
 PLAIN = 1
 GROUP = 1 << 21
+DENSE = 1 << 22  # values below this are numbered through a table, others by sorting
 OUT, BEGIN, INSIDE = 0, 1, 2
 KINDS = ["assign", "access", "hex", "field"]
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+_ASSIGN_STARTS = ["passw", "secret", "token", "api"]  # one of them, in small letters, is in every match
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_-]+|[^\sA-Za-z0-9+/_-]")
 _WITH_DIGIT = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z+/_-]*+[0-9][A-Za-z0-9+/_-]*+")
 _LONG = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+")
 # Words that announce a secret, and beginnings of issued keys.
-_CUES = re.compile(r"(?i)password|passwd|pwd|secret|token|api|key|auth|bearer|credential|private|passphrase")
+_CUE_WORDS = [b"password", b"passwd", b"pwd", b"secret", b"token", b"api", b"key", b"auth", b"bearer", b"credential", b"private", b"passphrase"]
+_CUES = re.compile("(?i)" + "|".join(x.decode() for x in _CUE_WORDS))
 _ISSUED = re.compile(r"AKIA|ASIA|gh[pousr]_|sk-|xox[abps]-|eyJ|AIza|glpat-")
+_ISSUED_PAIRS = [ord(x[0]) << 21 | ord(x[1]) for x in ("AK", "AS", "gh", "sk", "xo", "ey", "AI", "gl")]
+#: Kinds of characters; those from digits on make up tokens, a sign is one by itself. No white space is beyond the table.
+_SPACE, _SIGN, _DIGIT, _SMALL, _CAPITAL, _JOINER = range(6)
+_KINDS = np.array([_SPACE if chr(c).isspace() else _SIGN for c in range(0x3002)], dtype=np.uint8)
+for _c in string.printable:
+    if _c.isalnum() or _c in "+/_-":
+        _KINDS[ord(_c)] = _DIGIT if _c.isdigit() else _SMALL if _c.islower() else _CAPITAL if _c.isupper() else _JOINER
+#: A bit for each kind within tokens, and one for each character within tokens; number 128 stands for all others.
+_BITS = np.array([0, 0, 1, 2, 4, 8], dtype=np.uint8)
+_LETTER_BITS, _OTHER_BITS, _LOWER = np.zeros(129, dtype=np.uint64), np.zeros(129, dtype=np.uint8), np.zeros(129, dtype=np.uint8)
+for _k, _c in enumerate(string.ascii_letters + string.digits):
+    _LETTER_BITS[ord(_c)], _LOWER[ord(_c)] = 1 << _k, ord(_c.lower())
+for _k, _c in enumerate("+/_-"):
+    _OTHER_BITS[ord(_c)] = 1 << _k
 _HEX_RUN = re.compile(r"[0-9a-f]{32,}")
 _ALPHABETS = [
     "0123456789abcdef", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
@@ -68,7 +88,9 @@ _OPENINGS = [" = \"", ": ", "=", " ", ": \"", ":", "='"]
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Fixed forms by start, then kind."""
-    found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 8]
+    found, lower = [], text.lower()
+    if any(x in lower for x in _ASSIGN_STARTS):
+        found += [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 8]
     if "AKIA" in text:
         found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     # A run of hexadecimal letters is the same whether short ones are matched and dropped or passed over.
@@ -98,12 +120,12 @@ def pieces(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+@functools.lru_cache(maxsize=1 << 17)
 def _number(name: str) -> int:
     return xxhash.xxh32_intdigest(name.encode("utf-8", "surrogatepass")) & (DIMS - 1)
 
 
 N_FEATURES = 17
-_LOOK = {ord(c): k for k, letters in (("0", "0123456789"), ("a", "abcdefghijklmnopqrstuvwxyz"), ("A", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")) for c in letters}
 
 
 def _shape(w: str) -> list[str]:
@@ -114,11 +136,18 @@ def _shape(w: str) -> list[str]:
     kinds = ["0" if "0" <= c <= "9" else "A" if "A" <= c <= "Z" else "a" if "a" <= c <= "z" else "-" for c in w]
     turns = sum(a != b for a, b in zip(kinds, kinds[1:]))
     run = max((len(r) for r in re.findall("[A-Za-z]+", w)), default=0)
-    size = min(n // 4, 8)
-    kind = f"{'d' if digits else ''}{'l' if lower else ''}{'u' if upper else ''}{'' if w.isalnum() else 's'}"
+    look = min(n // 4, 8), digits > 0, lower, upper, not w.isalnum(), 4 * digits // n, 4 * len(set(w)) // n, min(8, 16 * turns // n), min(run, 9)
+    return _shape_names(*look, _ISSUED.match(w) is not None)
+
+
+#: Values of the arguments of ``_shape_names``, each from 0.
+_LOOKS = (9, 2, 2, 2, 2, 5, 5, 9, 10, 2)
+
+
+def _shape_names(size: int, digit: int, lower: int, upper: int, sign: int, digits: int, different: int, turns: int, run: int, issued: int) -> list[str]:
+    kind, long = f"{'d' if digit else ''}{'l' if lower else ''}{'u' if upper else ''}{'s' if sign else ''}", size >= 3
     return [
-        f"n{size}", f"k{kind}", f"nk{size}{kind}", f"r{4 * digits // n}{size}", f"v{4 * len(set(w)) // n}{size}",
-        f"t{min(8, 16 * turns // n)}{n >= 12}", f"a{min(run, 9)}{n >= 12}", f"i{bool(_ISSUED.match(w))}",
+        f"n{size}", f"k{kind}", f"nk{size}{kind}", f"r{digits}{size}", f"v{different}{size}", f"t{turns}{long}", f"a{run}{long}", f"i{bool(issued)}",
     ]
 
 
@@ -250,45 +279,66 @@ def sums(e: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return a, b, _log_sum(a[:, -1] + b[:, -1], 1)
 
 
-def _expected(e: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(tag probabilities, expected moves summed over chains)."""
-    a, b, z = sums(e, move)
-    p = np.exp(a + b - z[:, None, None])
+def _expected(e: np.ndarray, move: np.ndarray, live: np.ndarray, before: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tag probabilities, expected moves summed over chains) by sums that are scaled at each token.
+
+    ``e`` is tags x tokens: the first tokens of all chains, longest chain first, then the second ones, and so on; ``live`` tells how
+    many there are of each. ``before`` is the place of the token before each but the first ones, ``last`` that of the last ones.
+    """
+    x, m = np.exp(e - e.max(axis=0)), np.exp(move)
+    a, b, scale = np.empty_like(x), np.empty_like(x), np.ones(x.shape[1])
+    at = np.concatenate([[0], np.cumsum(live)]).tolist()
+    live = live.tolist()
+    a[:, : live[0]] = x[:, : live[0]] * m[OUT][:, None]
+    for i in range(1, len(live)):
+        part = slice(at[i], at[i + 1])
+        now = (m[:, :, None] * a[:, None, at[i - 1] : at[i - 1] + live[i]]).sum(axis=0) * x[:, part]
+        a[:, part] = now / now.sum(axis=0)
+    b[:, last] = m[:, OUT][:, None]
+    for i in range(len(live) - 2, -1, -1):
+        part, after = slice(at[i], at[i] + live[i + 1]), slice(at[i + 1], at[i + 2])
+        now = (m[:, :, None] * (x[:, after] * b[:, after])[None]).sum(axis=1)
+        scale[part] = now.sum(axis=0)
+        b[:, part] = now / scale[part]
+    p = a * b
+    total = p.sum(axis=0)
+    p /= total
     moves = np.zeros((3, 3))
-    moves[OUT] += p[:, 0].sum(axis=0)
-    moves[:, OUT] += p[:, -1].sum(axis=0)
-    pairs = a[:, :-1, :, None] + move + (e + b)[:, 1:, None, :] - z[:, None, None, None]
-    return p, moves + np.exp(pairs).sum(axis=(0, 1))
+    moves[OUT] += p[:, : live[0]].sum(axis=1)
+    moves[:, OUT] += p[:, last].sum(axis=1)
+    left, right = (a / (total * scale))[:, before], (x * b)[:, live[0] :]
+    return p, moves + m * np.array([[(one * other).sum() for other in right] for one in left])
 
 
 def fit_field(data: list[tuple[np.ndarray, list[int]]], steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
     """(DIMS x 3 emission weights, 3 x 3 moves) by Adam on the likelihood of the known tags.
 
-    Chains are filled up to one length with tokens that are surely outside and have no features.
+    Tokens with the same features share one sum of weights. The chains advance token by token at once.
     """
-    n = max(len(y) for _, y in data)
-    x = np.zeros((len(data), n, N_FEATURES), dtype=np.int64)
-    real = np.zeros((len(data), n), dtype=bool)
-    known = np.full((len(data), n, 3), -1e4)
-    known[:, :, OUT] = 0.0
-    for k, (f, y) in enumerate(data):
-        x[k, : len(y)], real[k, : len(y)] = f, True
-        for i, tag in enumerate(y):
-            known[k, i] = 0.0 if tag < 0 else np.where(np.arange(3) == tag, 0.0, -1e4)
-    filled = np.where(real[:, :, None], 0.0, known)
+    chains = sorted((d for d in data if len(d[1])), key=lambda d: -len(d[1]))
+    sizes = np.array([len(y) for _, y in chains])
+    first = np.cumsum(sizes) - sizes
+    live = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")  # chains of more than i tokens
+    order = np.concatenate([first[:k] + i for i, k in enumerate(live.tolist())])
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    last, before = place[first + sizes - 1], place[order[live[0] :] - 1]
+    used, row = np.unique(np.concatenate([f for f, _ in chains]).astype(np.int64), axis=0, return_inverse=True)
+    row = row.reshape(-1)[order]
+    tags = np.concatenate([y for _, y in chains])[order]
+    known = np.where((tags < 0) | (tags == np.arange(3)[:, None]), 0.0, -1e4)
     w, t = np.zeros((DIMS, 3)), np.zeros((3, 3))
     moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(t), np.zeros_like(t)]
-    used = x[real]
     for step in range(1, steps + 1):
         move = t + _ALLOWED
-        e = filled.copy()
-        e[real] += w[used].sum(axis=1)
-        p, moves = _expected(e, move)
-        q, seen = _expected(e + known, move)
-        diff = ((q - p) / len(data))[real]
+        e = w[used].sum(axis=1).T[:, row]
+        p, moves = _expected(e, move, live, before, last)
+        q, seen = _expected(e + known, move, live, before, last)
+        diff = (q - p) / len(data)
         gw = -RIDGE * w
         for k in range(3):
-            gw[:, k] += np.bincount(used.ravel(), weights=np.repeat(diff[:, k], N_FEATURES), minlength=DIMS)
+            each = np.bincount(row, weights=diff[k], minlength=len(used))
+            gw[:, k] += np.bincount(used.ravel(), weights=np.repeat(each, N_FEATURES), minlength=DIMS)
         gt = (seen - moves) / len(data) - RIDGE * t
         for k, (par, g) in enumerate(((w, gw), (t, gt))):
             m, v = moments[2 * k], moments[2 * k + 1]
@@ -316,8 +366,13 @@ def viterbi(e: np.ndarray, move: np.ndarray) -> list[int]:
 
 def likely_spans(e: np.ndarray, move: np.ndarray, tags: list[int], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Tagged spans of a chain with enough characters and probability."""
-    found = []
     a, b, z = (v[0] for v in sums(e[None], move))
+    return _probable(a, b, z, e, move, tags, spans)
+
+
+def _probable(a: np.ndarray, b: np.ndarray, z: float, e: np.ndarray, move: np.ndarray, tags: list[int], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """``likely_spans`` of a chain whose sums are known."""
+    found = []
     for i, tag in enumerate(tags):
         if tag != BEGIN:
             continue
@@ -331,72 +386,151 @@ def likely_spans(e: np.ndarray, move: np.ndarray, tags: list[int], spans: list[t
     return found
 
 
-class _Numbers(dict):
-    """Numbers keys as they come."""
+def _weights(names: Iterable[list[str]], w: np.ndarray) -> np.ndarray:
+    """Sums of the weights of each list of features."""
+    return np.array([w[[_number(x) for x in row]].sum(axis=0) for row in names]).reshape(-1, 3)
 
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        return n
 
+def _different(key: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different values of ``key``, all below ``limit``, in order, and the number of each value among them."""
+    if limit > DENSE:
+        return np.unique(key, return_inverse=True)
+    seen, number = np.zeros(limit, dtype=bool), np.zeros(limit, dtype=np.int32)
+    seen[key] = True
+    different = np.flatnonzero(seen)
+    number[different] = np.arange(len(different))
+    return different, number[key]
+
+
+def _summed(parts: list[tuple[np.ndarray, int]], names: Callable[..., list[str]], w: np.ndarray) -> np.ndarray:
+    """Per token the sum of the weights of ``names`` of its values of ``parts``, each below its limit; named once for equal values."""
+    key, limit = np.zeros(len(parts[0][0]), dtype=np.int64), 1
+    for values, below in parts:
+        key *= below
+        key += values
+        limit *= below
+    different, back = _different(key, limit)
+    values = []
+    for _, below in reversed(parts):
+        different, value = np.divmod(different, below)
+        values.append(value.tolist())
+    return _weights(map(names, *reversed(values)), w)[back]
+
+
+class _Tokens:
+    """Tokens of the lines of many texts, and what the features of each one by itself depend on.
+
+    ``start`` and ``end`` are places in the texts joined by line ends. ``look`` has the arguments of ``_shape_names``; ``sign`` numbers
+    ``signs``, what ``_sign`` gives, and ``single`` numbers ``singles``, the tokens of one character. Number 0 is the empty string.
+    """
 
-def _weights(names: Iterator[list[str]] | list[list[str]], w: np.ndarray) -> np.ndarray:
-    """Sums of the weights of each list of features."""
-    return np.array([w[[_number(x) for x in row]].sum(axis=0) for row in names]).reshape(-1, 3)
+    def __init__(self, texts: list[str]):
+        joined = "\n".join(texts)
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        kind = _KINDS[np.minimum(codes, len(_KINDS) - 1)]
+        within, lone = kind >= _DIGIT, kind == _SIGN
+        both = within[1:] & within[:-1]
+        begins, closes = within | lone, within | lone
+        begins[1:] &= ~both
+        closes[:-1] &= ~both
+        self.start = start = np.flatnonzero(begins)
+        self.end = np.flatnonzero(closes) + 1
+        if not len(start):
+            return
+        self.line = np.cumsum(codes == 10, dtype=np.int32)[start]
+        size = self.end - start
+        self.long = size >= 12
+
+        def total(flags: np.ndarray) -> np.ndarray:
+            """Number of set flags of each token; flags between tokens are never set."""
+            return np.add.reduceat(flags, start, dtype=np.int32)
+
+        has = np.bitwise_or.reduceat(_BITS[kind], start)
+        small = np.minimum(codes, 128)
+        different = np.bitwise_count(np.bitwise_or.reduceat(_LETTER_BITS[small], start)) + np.bitwise_count(np.bitwise_or.reduceat(_OTHER_BITS[small], start))
+        different[lone[start]] = 1
+        turned = np.zeros(len(codes), dtype=bool)
+        turned[1:] = both & (kind[1:] != kind[:-1])
+        letter = kind >= _SMALL
+        letter &= kind <= _CAPITAL
+        edge = np.diff(np.concatenate([[False], letter, [False]]).astype(np.int8))
+        runs = np.zeros(len(codes), dtype=np.int32)
+        opens = np.flatnonzero(edge == 1)
+        runs[opens] = np.flatnonzero(edge == -1) - opens
+        # Signs and single characters as Python sees them, once for each different one.
+        one = np.flatnonzero(size == 1)
+        chars, back = _different(codes[start[one]], 0x110000)
+        chars = [chr(c) for c in chars.tolist()]
+        alnum = (has & _BITS[_JOINER]) == 0
+        alnum[one] = np.array([c.isalnum() for c in chars], dtype=bool)[back]
+        self.singles = ["", *chars]
+        self.single = np.zeros(len(start), dtype=np.int32)
+        self.single[one] = back + 1
+        known = {name: k for k, name in enumerate(["", "9", "a", "x"])}
+        number = np.array([known.setdefault(_sign(c), len(known)) for c in chars], dtype=np.int32)
+        self.signs = list(known)
+        self.sign = np.where(has == _BITS[_DIGIT], 1, np.where(alnum & (has & _BITS[_DIGIT] == 0), 2, 3)).astype(np.int32)
+        self.sign[one] = number[back]
+        issued = np.zeros(len(start), dtype=bool)
+        pair = codes[start].astype(np.int64) << 21
+        pair[size > 1] += codes[start[size > 1] + 1]
+        for k in np.flatnonzero(np.isin(pair, _ISSUED_PAIRS)).tolist():
+            issued[k] = _ISSUED.match(joined, start[k]) is not None  # of signs within tokens, so it ends in this one
+        self.cue = np.zeros(len(start), dtype=bool)
+        lower, places = _LOWER[small].tobytes(), []
+        for word in _CUE_WORDS:
+            at = lower.find(word)
+            while at >= 0:
+                places.append(at)
+                at = lower.find(word, at + 1)
+        self.cue[np.searchsorted(start, places, side="right") - 1] = True
+        self.look = [
+            np.minimum(size // 4, 8), has & _BITS[_DIGIT] > 0, has & _BITS[_SMALL] > 0, has & _BITS[_CAPITAL] > 0, ~alnum,
+            4 * total(kind == _DIGIT) // size, 4 * different.astype(np.int64) // size, np.minimum(16 * total(turned) // size, 8),
+            np.minimum(np.maximum.reduceat(runs, start), 9), issued,
+        ]
 
 
-def _emissions(words: list[str], word: np.ndarray, line: np.ndarray, joined: np.ndarray, files: list[str], file: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Tokens x tags: what ``w[chain(...)].sum`` gives, from one sum for each different word and each different surrounding.
+def _emissions(tokens: _Tokens, joined: np.ndarray, files: list[str], file: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Tokens x tags: what ``w[chain(...)].sum`` gives, from one sum for each different look and each different surrounding.
 
-    ``word``, ``line`` and ``file`` are the numbers of each token's word, line and kind of file.
+    ``file`` is the number of each token's kind of file.
     """
-    # The features of a word by itself follow from its kinds of letters, how many differ and how it begins.
-    looks, one_of = _Numbers(), {}
-    look = np.array([looks[one_of.setdefault((x.translate(_LOOK), len(set(x)), x.isalnum(), _ISSUED.match(x) is None), x)] for x in words])
-    shape = _weights([_shape(x) for x in looks], w)[look]
-    known = _Numbers({"": 0})
-    sign = np.array([known[_sign(x)] for x in words])
-    cue = np.array([bool(_CUES.search(x)) for x in words])[word]
-    long = np.array([len(x) >= 12 for x in words])[word]
-    signs = list(known)
+    line, signs, long = tokens.line, tokens.signs, tokens.long
     # Signs before and after within the line, number 0 beyond its ends.
-    at, n = sign[word], len(word)
+    n = len(line)
     around = {}
     cued = np.zeros(n, dtype=bool)
     for d in (1, 2, 3):
         same = line[d:] == line[:-d]
-        cued[d:] |= same & cue[:-d]
+        cued[d:] |= same & tokens.cue[:-d]
         if d < 3:
-            around[-d], around[d] = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-            around[-d][d:] = np.where(same, at[:-d], 0)
-            around[d][:-d] = np.where(same, at[d:], 0)
-    single = _Numbers({"": 0})
-    one = np.array([single[x if len(x) == 1 else ""] for x in words])[word]
-    singles = list(single)
-
-    def summed(parts: list[tuple[np.ndarray, int]], names) -> np.ndarray:
-        """Rows of the weights of ``names`` of the values of ``parts``, each below its limit."""
-        key = np.zeros(n, dtype=np.int64)
-        for values, limit in parts:
-            key = key * limit + values
-        different, back = np.unique(key, return_inverse=True)
-        rows = []
-        for k in different.tolist():
-            values = []
-            for _, limit in reversed(parts):
-                k, v = divmod(k, limit)
-                values.append(v)
-            rows.append(names(*reversed(values)))
-        return _weights(rows, w)[back]
-
+            around[-d], around[d] = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int32)
+            around[-d][d:] = np.where(same, tokens.sign[:-d], 0)
+            around[d][:-d] = np.where(same, tokens.sign[d:], 0)
     m = len(signs)
     yes = [False, True]
-    e = shape[word]
-    e += summed([(around[-2], m), (around[-1], m), (long, 2)], lambda q, p, g: [f"p{signs[p]}{yes[g]}", f"pp{signs[q]}{signs[p]}{yes[g]}"])
-    e += summed([(around[1], m), (around[2], m), (long, 2)], lambda x, y, g: [f"x{signs[x]}{yes[g]}", f"xx{signs[x]}{signs[y]}{yes[g]}"])
-    e += summed([(around[-1], m), (around[1], m), (long, 2)], lambda p, x, g: [f"px{signs[p]}{signs[x]}{yes[g]}"])
-    e += summed([(cued, 2), (long, 2)], lambda c, g: [f"c{yes[c]}", f"cl{yes[c]}{yes[g]}"])
-    e += summed([(joined, 2), (one, len(singles))], lambda j, o: [f"j{yes[j]}{singles[o]}"])
-    return e + summed([(file, len(files)), (long, 2)], lambda f, g: [f"f{files[f]}{yes[g]}"])
+    e = _summed(list(zip(tokens.look, _LOOKS, strict=True)), _shape_names, w)
+    e += _summed([(around[-2], m), (around[-1], m), (long, 2)], lambda q, p, g: [f"p{signs[p]}{yes[g]}", f"pp{signs[q]}{signs[p]}{yes[g]}"], w)
+    e += _summed([(around[1], m), (around[2], m), (long, 2)], lambda x, y, g: [f"x{signs[x]}{yes[g]}", f"xx{signs[x]}{signs[y]}{yes[g]}"], w)
+    e += _summed([(around[-1], m), (around[1], m), (long, 2)], lambda p, x, g: [f"px{signs[p]}{signs[x]}{yes[g]}"], w)
+    e += _summed([(cued, 2), (long, 2)], lambda c, g: [f"c{yes[c]}", f"cl{yes[c]}{yes[g]}"], w)
+    e += _summed([(joined, 2), (tokens.single, len(tokens.singles))], lambda j, o: [f"j{yes[j]}{tokens.singles[o]}"], w)
+    return e + _summed([(file, len(files)), (long, 2)], lambda f, g: [f"f{files[f]}{yes[g]}"], w)
+
+
+def _may_be_tagged(e: np.ndarray, first: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Whether the best tags of each chain may be others than outside throughout; where not, ``viterbi`` need not be run.
+
+    Against outside throughout, a run of m tagged tokens gains at most its tokens' gains, m - 1 moves within and two at its ends.
+    """
+    moves = move - move[OUT, OUT]
+    within = moves[1:, 1:].max()
+    gain = np.maximum(e[:, BEGIN], e[:, INSIDE]) - e[:, OUT] + within
+    ends = moves[OUT, 1:].max() + moves[1:, OUT].max() - within
+    # One run gains no more than all the tokens that gain, or the best one if none does; some run of a better path gains.
+    best, total = np.maximum.reduceat(gain, first), np.add.reduceat(np.maximum(gain, 0.0), first)
+    return np.where(best > 0, total, best) + ends > -1e-6
 
 
 def _best_tags(e: np.ndarray, first: np.ndarray, size: np.ndarray, move: np.ndarray) -> np.ndarray:
@@ -423,37 +557,55 @@ def _best_tags(e: np.ndarray, first: np.ndarray, size: np.ndarray, move: np.ndar
     return tags
 
 
+def _sums(e: np.ndarray, first: np.ndarray, size: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``sums`` of many chains at once; chain k has the tokens from first[k], size[k] of them, longer chains first."""
+    a, b = np.empty_like(e), np.empty_like(e)
+    live = np.searchsorted(-size, -np.arange(int(size[0]) + 1), side="left").tolist()
+    a[first] = e[first] + move[OUT]
+    for i in range(1, int(size[0])):
+        at = first[: live[i]] + i
+        a[at] = e[at] + _log_sum(a[at - 1][:, :, None] + move[None], 1)
+    last = first + size - 1
+    b[last] = move[:, OUT]
+    for i in range(int(size[0]) - 1, 0, -1):
+        at = first[: live[i]] + i
+        b[at - 1] = _log_sum(move[None] + (e[at] + b[at])[:, None, :], 2)
+    return a, b, _log_sum(a[last] + b[last], 1)
+
+
 def _group_spans(texts: list[str], w: np.ndarray, t: np.ndarray) -> list[list[tuple[int, int]]]:
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
-    word_of, file_of = _Numbers(), _Numbers()
-    starts, ends, words, lines, texts_of, files, n_lines = [], [], [], [], [], [], 0
-    for k, text in enumerate(texts):
-        spans = [m.span() for m in _TOKEN.finditer(text)]
-        if not spans:
-            continue
-        places = np.array(spans, dtype=np.int64)
-        breaks = np.cumsum([len(x) + 1 for x in text.split("\n")])
-        starts.append(places[:, 0])
-        ends.append(places[:, 1])
-        words.append(np.fromiter(map(word_of.__getitem__, _TOKEN.findall(text)), dtype=np.int64, count=len(spans)))
-        lines.append(n_lines + np.searchsorted(breaks, places[:, 0], side="right"))
-        n_lines += len(breaks)
-        texts_of.append(np.full(len(spans), k))
-        files.append(np.full(len(spans), file_of[_file(text)]))
-    if not starts:
+    tokens = _Tokens(texts)
+    start, end = tokens.start, tokens.end
+    if not len(start):
         return out
-    start, end, word, line, owner, file = map(np.concatenate, (starts, ends, words, lines, texts_of, files))
+    offset = np.cumsum([0, *(len(x) + 1 for x in texts)])
+    numbers: dict[str, int] = {}
+    file = np.array([numbers.setdefault(_file(x), len(numbers)) for x in texts], dtype=np.int32)
+    owner = np.searchsorted(offset, start, side="right") - 1
     joined = np.zeros(len(start), dtype=bool)
-    joined[1:] = (line[1:] == line[:-1]) & (end[:-1] == start[1:])
+    joined[1:] = end[:-1] == start[1:]
     move = t + _ALLOWED
-    e = _emissions(list(word_of), word, line, joined, list(file_of), file, w)
-    first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
-    size = np.diff(np.r_[first, len(line)])
+    e = _emissions(tokens, joined, list(numbers), file[owner], w)
+    first = np.flatnonzero(np.r_[True, tokens.line[1:] != tokens.line[:-1]])
+    size = np.diff(np.r_[first, len(start)])
+    some = _may_be_tagged(e, first, move)
+    if not some.any():
+        return out
+    first, size = first[some], size[some]
     tags = _best_tags(e, first, size, move)
-    for c in np.flatnonzero(np.add.reduceat(tags == BEGIN, first)).tolist():
-        part = slice(int(first[c]), int(first[c] + size[c]))
-        places = list(zip(start[part].tolist(), end[part].tolist(), strict=True))
-        out[int(owner[part.start])] += likely_spans(e[part], move, tags[part].tolist(), places)
+    some = np.array([(tags[a : a + n] == BEGIN).any() for a, n in zip(first.tolist(), size.tolist(), strict=True)])
+    if not some.any():
+        return out
+    first, size = first[some], size[some]
+    order = np.argsort(-size, kind="stable")
+    a, b, z = _sums(e, first[order], size[order], move)
+    total = np.empty_like(z)
+    total[order] = z
+    for at, n, z in zip(first.tolist(), size.tolist(), total.tolist(), strict=True):
+        part, k = slice(at, at + n), int(owner[at])
+        places = list(zip((start[part] - offset[k]).tolist(), (end[part] - offset[k]).tolist(), strict=True))
+        out[k] += _probable(a[part], b[part], z, e[part], move, tags[part].tolist(), places)
     return out
 
 
