@@ -8,6 +8,7 @@ import pytest
 import xxhash
 
 from zephra.llm import chat, decontamination, fingerprints, html_text, pii, secret_scan, simhash
+from zephra.scale import cut_lineage, merged_if_large
 
 SF = "/root/testdata/sf0.001"
 WORDS = "ash birch cedar dogwood elm fir ginkgo hazel ivy juniper kauri larch maple nutmeg oak pine quince rowan spruce teak".split()
@@ -232,6 +233,35 @@ def test_simhash_links_lose_no_pair_in_crowded_buckets(spark, bucket):
     assert {(r.u, r.v) for r in simhash.links(nodes, 4, bucket).collect()} == pairs
 
 
+def test_simhash_probes_are_not_broadcast(spark):
+    """Spark sizes the exploded probes as the fingerprints they come from; they are joined by a merge at any size."""
+    nodes = cut_lineage(spark.createDataFrame([(i * 0x9E3779B97F4A7C15 % 2**63,) for i in range(300)], "fp long"))
+    for bucket in (simhash.BUCKET, 2):
+        plan = simhash.links(nodes, 4, bucket)._jdf.queryExecution().executedPlan().toString()
+        top = plan[plan.index("Join"):].splitlines()[0]
+        assert "bit_count" in top and plan[: plan.index("Join")].endswith("SortMerge")
+
+
+def test_simhash_broadcasts_go_by_rows(spark, monkeypatch):
+    """Tables of more rows than the bound are merged, whatever Spark takes them for, with equal results."""
+    texts = [f"{a} {b} {a}{b} and the rest of it" for a in WORDS for b in WORDS[:4]] * 2
+    docs = documents(spark, texts)
+    want = sorted(map(tuple, simhash.near_duplicates(docs).collect())), sorted(r.doc_id for r in simhash.one_of_each(docs).collect())
+    bounds = []
+
+    def low(df, rows=None):
+        bounds.append(rows)
+        return merged_if_large(df, 10)
+
+    monkeypatch.setattr(simhash, "merged_if_large", low)
+    for made in (simhash.near_duplicates(docs), simhash.one_of_each(docs)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "strategy=merge" in plan.replace(" ", "")
+        rows = sorted(map(tuple, made.collect()))
+        assert rows == want[0] if len(rows[0]) == 3 else [r[0] for r in rows] == want[1]
+    assert len(bounds) == 4
+
+
 def test_simhash_thresholds_and_empty_table(spark):
     cost, ts = simhash.allocate([[0, 5, 50, 500, 5000, 50000], [0, 1, 2, 3, 400, 50000]], 4)
     assert sum(t + 1 for t in ts) == 5 and (cost, ts) == (53, [1, 2])

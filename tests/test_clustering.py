@@ -73,6 +73,23 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert got == want
 
 
+def test_components_of_many_nodes_broadcast_no_minima(spark, monkeypatch):
+    """Above the bound the minima of all nodes are merged; labels stay the same."""
+    edges = spark.createDataFrame([(r, i, i + 1 + i % 3) for r in range(2) for i in range(0, 60, 2)], "run int, u int, v int")
+    want = sorted(map(tuple, components.components(edges).collect()))
+    seen = []
+    for name in ("_large_star", "_small_star"):
+        def watched(df, many, star=getattr(components, name)):
+            seen.append((many, star(df, many)._jdf.queryExecution().executedPlan().toString()))
+            return star(df, many)
+
+        monkeypatch.setattr(components, name, watched)
+    monkeypatch.setattr(components, "ROWS_PER_TASK", 10)
+    assert sorted(map(tuple, components.components(edges).collect())) == want
+    assert seen and all(many and "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan for many, plan in seen)
+
+
+
 def test_multimodal_hidden_hotspot(spark):
     from pyspark.sql import functions as F
 

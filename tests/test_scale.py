@@ -105,6 +105,17 @@ def test_tasks_are_bounded_by_rows(spark):
     assert dealt(rows, per_task=20_000) is rows
 
 
+def test_many_rows_of_a_small_file_are_not_broadcast(spark):
+    """Files of few bytes may hold many rows: beyond the bound they are merged, at most that many stay with Catalyst."""
+    from zephra.scale import cut_lineage, merged_if_large
+
+    rows = cut_lineage(spark.range(1000).select((F.col("id") % 2).alias("k")))
+    other = spark.range(2).withColumnRenamed("id", "k")
+    plan = lambda df: other.join(df, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan(merged_if_large(rows, 999)) and "Broadcast" not in plan(merged_if_large(rows, 999))
+    assert merged_if_large(rows, 1000) is rows and "BroadcastHashJoin" in plan(rows)
+
+
 def test_nearest_with_points_dealt_over_tasks(spark, monkeypatch):
     """The nearest search keeps its answers when its points are more than a task takes."""
     from zephra import scale

@@ -30,7 +30,7 @@ from pyspark.sql.types import LongType
 
 from zephra.llm.catalog import query, table
 from zephra.operators.components import components
-from zephra.scale import cut_lineage
+from zephra.scale import cut_lineage, merged_if_large
 
 BITS = 64
 SHINGLE = 4
@@ -215,7 +215,8 @@ def links(nodes: DataFrame, tau: int = MAX_DISTANCE, bucket: int = BUCKET) -> Da
     if not hot.isEmpty():
         index, probes = _subdivided(index, hot, plan, tau), _subdivided(probes, hot, plan, tau)
         on = [*on, "block", "sub"]
-    a, b = index.withColumnRenamed("fp", "u"), probes.withColumnRenamed("fp", "v")
+    # Catalyst takes an explode to be as large as the fingerprints, and would broadcast all probes of some million of them.
+    a, b = index.withColumnRenamed("fp", "u"), probes.withColumnRenamed("fp", "v").hint("merge")
     near = (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= tau)
     same = F.lit(True)
     for c in on:
@@ -228,11 +229,11 @@ def grouped(docs: DataFrame, width: int = SHINGLE, tau: int = MAX_DISTANCE) -> t
 
     ``component_id`` is the smallest doc_id of the component, ``keep_fp`` the (least) fingerprint under which it occurs.
     """
-    prints = cut_lineage(docs.select("doc_id", fingerprint_of("text", width).alias("fp")))
+    prints = merged_if_large(cut_lineage(docs.select("doc_id", fingerprint_of("text", width).alias("fp"))))
     nodes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     edges = links(nodes, tau).select(F.lit(0).alias("run"), "u", "v")
     labels = components(edges).select(F.col("u").alias("fp"), "label")
-    placed = nodes.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    placed = merged_if_large(nodes).join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = placed.groupBy("label").agg(F.min("least").alias("component_id"), F.min(F.struct(F.col("least").isNull(), "least", "fp")).alias("first"))
     least = least.select("label", "component_id", F.col("first.fp").alias("keep_fp"))
     return prints, placed.join(least, "label").select("fp", "component_id", "keep_fp")
