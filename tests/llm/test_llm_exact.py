@@ -259,7 +259,7 @@ def test_simhash_broadcasts_go_by_rows(spark, monkeypatch):
         assert "strategy=merge" in plan.replace(" ", "")
         rows = sorted(map(tuple, made.collect()))
         assert rows == want[0] if len(rows[0]) == 3 else [r[0] for r in rows] == want[1]
-    assert len(bounds) == 4
+    assert len(bounds) == 5
 
 
 def test_simhash_thresholds_and_empty_table(spark):

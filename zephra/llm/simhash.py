@@ -250,7 +250,7 @@ def one_of_each(docs: DataFrame, width: int = SHINGLE, tau: int = MAX_DISTANCE)
     prints, placed = grouped(docs, width, tau)
     keep = placed.filter(F.col("fp") == F.col("keep_fp")).select("fp", F.col("component_id").alias("_keep"))
     chosen = prints.join(keep, (prints["fp"] == keep["fp"]) & prints["doc_id"].eqNullSafe(keep["_keep"])).select("_keep", prints["fp"].alias("_fp"))
-    chosen = cut_lineage(chosen.distinct())
+    chosen = merged_if_large(cut_lineage(chosen.distinct()), 500_000)
     # An id with several texts must be matched by fingerprint too; ids are normally unique, so that step is mostly empty.
     several = cut_lineage(prints.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("doc_id"))
     if several.isEmpty():
